@@ -81,3 +81,10 @@ class Words:
         keep[begins + lengths] = False
         out[keep] = self.data
         return out.tobytes(), begins, begins + lengths
+
+
+def codepoints(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The code points of all texts and the offsets of each text in them."""
+    raw, _ = utf8(texts)
+    points = np.frombuffer(raw.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
+    return points, np.concatenate(([0], np.cumsum(pc.utf8_length(texts).to_numpy(zero_copy_only=False)))).astype(np.int64)
