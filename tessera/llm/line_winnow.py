@@ -41,7 +41,7 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, least_chars: int = LEAST_CHARS) -> DataFrame:
-    """(_w_id, _w_tie, runs): the first and last line of each run to delete, of each text that has any."""
+    """(_w_id, _w_tie, _w_runs): the first and last line of each run to delete, of each text that has any."""
     keyed = _keyed(docs, id_col, text_col)
     lines = keyed.select("_w_id", "_w_tie", F.transform("_w_lines", _hash).alias("h"), F.transform("_w_lines", F.length).alias("n"))
     lines = materialize(lines, "lines")
@@ -64,16 +64,16 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     back = F.length(F.substring_index(F.substring("same", F.lit(1), F.col("k")), "0", -1))
     runs = runs.select("_w_id", "_w_tie", (F.col("k") - back).alias("start"), (F.expr("locate('0', same, k + 1)") - 2).alias("last"), "n").distinct()
     chars = F.aggregate(F.slice("n", F.col("start") + 1, F.col("last") - F.col("start") + 1), F.lit(0), lambda a, x: a + x)
-    return runs.where(chars >= least_chars).groupBy("_w_id", "_w_tie").agg(F.collect_set(F.struct("start", "last")).alias("runs"))
+    return runs.where(chars >= least_chars).groupBy("_w_id", "_w_tie").agg(F.collect_set(F.struct("start", "last")).alias("_w_runs"))
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, least_chars: int = LEAST_CHARS) -> DataFrame:
     """``docs`` without the repeated runs, with ``_w_n_lines`` and ``_w_n_deleted``."""
     runs = repeated_runs(docs, id_col, text_col, window, least_chars)
     joined = _keyed(docs, id_col, text_col).join(runs, ["_w_id", "_w_tie"], "left")
-    kept = F.filter("_w_lines", lambda line, i: ~F.exists("runs", lambda r: (r["start"] <= i) & (i <= r["last"])))
-    joined = joined.withColumn("_w_kept", F.when(F.col("runs").isNotNull(), kept).otherwise(F.col("_w_lines")))
-    text = F.when(F.col("runs").isNotNull(), F.array_join("_w_kept", "\n")).otherwise(F.col(text_col))
+    kept = F.filter("_w_lines", lambda line, i: ~F.exists("_w_runs", lambda r: (r["start"] <= i) & (i <= r["last"])))
+    joined = joined.withColumn("_w_kept", F.when(F.col("_w_runs").isNotNull(), kept).otherwise(F.col("_w_lines")))
+    text = F.when(F.col("_w_runs").isNotNull(), F.array_join("_w_kept", "\n")).otherwise(F.col(text_col))
     size = F.size("_w_lines").cast("long")
     return joined.withColumn(text_col, text).select(*docs.columns, size.alias("_w_n_lines"), (size - F.size("_w_kept")).alias("_w_n_deleted"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chunk_dedup, edit_embed, line_winnow, media_chunks, mixing, packing, secret_owners, simhash_bk, toxicity
+from tessera.llm import brown_lm, chunk_dedup, edit_embed, line_winnow, media_chunks, mixing, packing, secret_owners, simhash_bk, toxicity
 
 
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
@@ -19,6 +19,10 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return brown_lm.score(_documents(spark, sf_dir))
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_bk.near_duplicates(_documents(spark, sf_dir))
 
@@ -61,6 +65,7 @@ def op10_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_brown_lm": op1_brown_lm,
     "op2_simhash": op2_simhash,
     "op3_mixing": op3_mixing,
     "op4_packing": op4_packing,

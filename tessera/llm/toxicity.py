@@ -23,6 +23,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
@@ -157,18 +158,23 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return Model(code, weight, intercept)
 
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, score) of every row."""
+def with_score(docs: DataFrame, model: Model, score_col: str = "score", text_col: str = "text") -> DataFrame:
+    """``docs`` with the score of each row's text."""
     shared = docs.sparkSession.sparkContext.broadcast((model.code, model.weight, model.intercept))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.pandas_udf("double")
+    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         scorer = Model(*shared.value)
-        for batch in batches:
-            for rows, texts in slices(batch, "text"):
-                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(scorer.scores(texts))], ["id", "score"])
+        for values in batches:
+            batch = pa.RecordBatch.from_arrays([pa.array(values, pa.string(), from_pandas=True)], ["text"])
+            yield pd.Series(np.concatenate([scorer.scores(texts) for _, texts in slices(batch, "text")] or [np.zeros(0)]))
 
-    kept = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return kept.mapInArrow(run, f"id {kept.schema['id'].dataType.simpleString()}, score double").withColumnRenamed("id", id_col)
+    return docs.withColumn(score_col, scored(F.col(text_col)))
+
+
+def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id_col, score) of every row."""
+    return with_score(docs.select(id_col, text_col), model, "score", text_col).select(id_col, "score")
 
 
 def held_out(id_col: str = "doc_id") -> Column:
