@@ -100,8 +100,18 @@ def vectorised(core: Callable[..., Result], columns: int = 1) -> Callable[..., C
         return pd.DataFrame([known[k] for k in keys], columns=["value", "quality", "reason"])
 
     if columns == 1:
-        return F.pandas_udf(lambda a: over(a), RESULT, F.PandasUDFType.SCALAR)
-    return F.pandas_udf(lambda a, b: over(a, b), RESULT, F.PandasUDFType.SCALAR)
+
+        @F.pandas_udf(RESULT)
+        def one(a: pd.Series) -> pd.DataFrame:
+            return over(a)
+
+        return one
+
+    @F.pandas_udf(RESULT)
+    def two(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+        return over(a, b)
+
+    return two
 
 
 def name_column(raw: Column) -> Column:

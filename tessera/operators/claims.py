@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import normalize as N
@@ -12,6 +14,10 @@ from tessera.schema import CLAIM_DDL, claim_schema
 WIDTH = 1 << 20
 
 
+def _named(field: str, kind: str) -> Callable[[Column], Column]:
+    return lambda v: F.struct(F.lit(field).alias("field_path"), v.alias("value"), F.lit(kind).alias("value_kind"))
+
+
 def emit(records: DataFrame, source: str, method: str, parts: list[tuple[str, Column, str]]) -> DataFrame:
     """Unpivot ``records`` (entity_key, record_seq, ...) into claims.
 
@@ -20,7 +26,7 @@ def emit(records: DataFrame, source: str, method: str, parts: list[tuple[str, Co
     """
     arrays = []
     for field, value, kind in parts:
-        each = F.transform(value, lambda v, f=field, k=kind: F.struct(F.lit(f).alias("field_path"), v.alias("value"), F.lit(k).alias("value_kind")))
+        each = F.transform(value, _named(field, kind))
         arrays.append(F.coalesce(each, F.array().cast("array<struct<field_path:string,value:string,value_kind:string>>")))
     listed = records.select("entity_key", "record_seq", F.posexplode(F.concat(*arrays)).alias("nth", "c"))
     listed = listed.where("c.value is not null and c.value <> ''")
@@ -99,8 +105,4 @@ def live(claims: DataFrame) -> DataFrame:
     return claims.where(~F.col("abstained"))
 
 
-def order_of(key: str) -> Window:
-    return Window.partitionBy(key).orderBy("claim_seq")
-
-
 __all__ = ["CLAIM_DDL", "emit", "fields_object", "live", "normalize", "region_hints", "scalar", "several"]

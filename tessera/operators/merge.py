@@ -6,6 +6,9 @@ a rival value discounts the winner by its share. Everything is keyed by cluster,
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -65,12 +68,20 @@ def skills(supported: DataFrame) -> DataFrame:
     return supported.where("field_path = 'skills'").groupBy("cluster_id").agg(F.sort_array(F.collect_list(each)).alias("skills"), F.round(F.max("support"), PLACES).alias("confidence"))
 
 
+def canonical_text(value: Column) -> Column:
+    """The JSON text that orders objects: sorted keys, a space after separators, ASCII only."""
+
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: json.dumps(json.loads(t), sort_keys=True), na_action="ignore")
+
+    return run(value)
+
+
 def objects(supported: DataFrame, field: str, ddl: str) -> DataFrame:
     """(cluster_id, objects, confidence): distinct objects in the order of their canonical JSON text."""
     kept = supported.where(F.col("field_path") == field)
-    # in canonical text a quote ends a name before any letter, and null comes after quoted values
-    rank = F.regexp_replace(F.regexp_replace("value", ":", ": "), '",', '", ')
-    listed = F.sort_array(F.collect_list(F.struct(rank.alias("k"), F.from_json("value", ddl).alias("o"))))
+    listed = F.sort_array(F.collect_list(F.struct(canonical_text(F.col("value")).alias("k"), F.from_json("value", ddl).alias("o"))))
     return kept.groupBy("cluster_id").agg(F.transform(listed, lambda x: x["o"]).alias("objects"), F.round(F.max("support"), PLACES).alias("confidence"))
 
 

@@ -30,5 +30,5 @@ def profile_schema() -> T.StructType:
     return T.StructType.fromDDL(PROFILE_DDL)
 
 
-#: Names of a profile's fields, in order.
-PROFILE_FIELDS = tuple(profile_schema().fieldNames())
+#: Names of a profile's fields, in order; known without a session.
+PROFILE_FIELDS = ("candidate_id", "full_name", "emails", "phones", "location", "links", "headline", "years_experience", "skills", "experience", "education", "provenance", "abstentions", "overall_confidence")
