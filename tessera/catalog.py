@@ -1,6 +1,389 @@
-"""Queries over the driver's tables, with the SQL that yields the same rows."""
+"""Queries over the driver's tables, with the SQL that yields the same rows.
+
+The tables hold no files about people, so each query first projects them into claims: documents are notes; customers, with their
+nations, are a structured source; suppliers are a second one; a part's words are skills; props of events are JSON.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.functions import matching as M
+from tessera.functions import normalize as N
+from tessera.operators import claims as C
+from tessera.operators import merge as G
+from tessera.operators import resolve as R
+from tessera.operators.components import connected_components
+from tessera.operators.storage import materialize
+from tessera.pipeline import profiles_of
+from tessera.plans.config import from_dict
+from tessera.plans.paths import compiled, parse
+from tessera.plans.project import project
+from tessera.schema import profile_schema
+from tessera.sources import readers as S
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def keep(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return keep
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def keyed(rows: DataFrame, source: str, number: str, step: int) -> DataFrame:
+    return rows.withColumn("entity_key", F.concat(F.lit(f"{source}:"), F.col(number))).withColumn("record_seq", F.col(number).cast("long") + step * (1 << 40))
+
+
+def note_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = keyed(table(spark, sf_dir, "documents").where("text is not null"), "notes", "doc_id", 0)
+    return C.emit(docs, "notes", "regex_extract", S.note_parts(F.col("text")))
+
+
+def customer_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    rows = keyed(rows, "csv", "c_custkey", 1).withColumn("n", F.col("c_custkey") % 4000)
+    none = F.lit(None).cast("string")
+    parts = [
+        C.scalar("full_name", F.concat(F.lit("person "), F.col("n"))),
+        C.scalar("emails", F.concat(F.lit("C"), F.expr("c_custkey div 3"), F.lit("@"), F.lower("c_mktsegment"), F.lit(".com"))),
+        C.scalar("phones", F.concat(F.lit("+1 415 555 "), F.lpad((F.col("c_custkey") % 9000 + 1000).cast("string"), 4, "0"))),
+        C.fields_object("experience", company=F.col("c_mktsegment"), title=F.col("n_name"), start=none, end=none, summary=none),
+        C.fields_object("location", city=none, region=F.col("n_name"), country=F.col("n_name")),
+    ]
+    return C.emit(rows, "csv", "direct_field", parts)
+
+
+def supplier_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    rows = keyed(rows, "ats", "s_suppkey", 2)
+    none = F.lit(None).cast("string")
+    parts = [
+        C.scalar("full_name", F.concat(F.lit("person "), F.col("s_suppkey") % 4000)),
+        C.scalar("emails", F.concat(F.lit("S"), F.col("s_suppkey"), F.lit("@supply.org"))),
+        C.scalar("phones", F.concat(F.lit("+1 415 555 "), F.lpad((F.col("s_suppkey") % 9000 + 1000).cast("string"), 4, "0"))),
+        C.scalar("links.github", F.concat(F.lit("user"), F.col("s_suppkey") % 7)),
+        C.fields_object("location", city=none, region=F.col("n_name"), country=F.col("n_name")),
+    ]
+    return C.emit(rows, "ats", "field_remap", parts)
+
+
+def people(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return customer_claims(spark, sf_dir).unionByName(supplier_claims(spark, sf_dir))
+
+
+def normal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.normalize(people(spark, sf_dir))
+
+
+def by_name(claims: DataFrame) -> DataFrame:
+    """Claims grouped by the number in the record's key modulo 25, for reducers alone."""
+    return claims.withColumn("cluster_id", (F.split("entity_key", ":")[1].cast("long") % 25).cast("string"))
+
+
+#: The people of customers and suppliers as normalized claims, in SQL.
+PEOPLE = """
+c AS (SELECT 'csv:' || c_custkey AS entity_key, c_custkey AS num, c_custkey % 4000 AS n, c_mktsegment AS seg, n_name,
+        'c' || (c_custkey // 3) || '@' || lower(c_mktsegment) || '.com' AS email, '+1415555' || lpad((c_custkey % 9000 + 1000)::VARCHAR, 4, '0') AS phone
+      FROM customer JOIN nation ON c_nationkey = n_nationkey),
+s AS (SELECT 'ats:' || s_suppkey AS entity_key, s_suppkey AS num, s_suppkey % 4000 AS n, n_name,
+        's' || s_suppkey || '@supply.org' AS email, '+1415555' || lpad((s_suppkey % 9000 + 1000)::VARCHAR, 4, '0') AS phone, 'user' || (s_suppkey % 7) AS github
+      FROM supplier JOIN nation ON s_nationkey = n_nationkey),
+claims AS (
+  SELECT entity_key, num, 'full_name' AS field_path, 'Person ' || n AS value, 'csv' AS source, 'direct_field' AS method, 0.85 * 0.85 * 1.00 AS belief, 0.85 AS trust FROM c
+  UNION ALL SELECT entity_key, num, 'emails', email, 'csv', 'direct_field', 0.85 * 1.00, 0.85 FROM c
+  UNION ALL SELECT entity_key, num, 'phones', phone, 'csv', 'direct_field', 0.85 * 1.00, 0.85 FROM c
+  UNION ALL SELECT entity_key, num, 'experience', '{"company":"' || seg || '","end":null,"start":null,"summary":null,"title":"' || n_name || '"}', 'csv', 'direct_field', 0.85 * 1.00, 0.85 FROM c
+  UNION ALL SELECT entity_key, num, 'location', '{"city":null,"country":"' || n_name || '","region":"' || n_name || '"}', 'csv', 'direct_field', 0.85 * 1.00, 0.85 FROM c
+  UNION ALL SELECT entity_key, num, 'full_name', 'Person ' || n, 'ats', 'field_remap', 0.95 * 0.97 * 0.85, 0.95 FROM s
+  UNION ALL SELECT entity_key, num, 'emails', email, 'ats', 'field_remap', 0.95 * 0.97, 0.95 FROM s
+  UNION ALL SELECT entity_key, num, 'phones', phone, 'ats', 'field_remap', 0.95 * 0.97, 0.95 FROM s
+  UNION ALL SELECT entity_key, num, 'links.github', github, 'ats', 'field_remap', 0.95 * 0.97, 0.95 FROM s
+  UNION ALL SELECT entity_key, num, 'location', '{"city":null,"country":"' || n_name || '","region":"' || n_name || '"}', 'ats', 'field_remap', 0.95 * 0.97, 0.95 FROM s),
+g AS (SELECT (num % 25)::VARCHAR AS cluster_id, * FROM claims),
+sup AS (SELECT cluster_id, field_path, value, 1 - product(1 - belief::DOUBLE) AS support, max(trust) AS trust, array_to_string(list_sort(list_distinct(list(source))), ',') AS sources
+        FROM g GROUP BY cluster_id, field_path, value),
+won AS (SELECT * FROM (SELECT *, row_number() OVER w AS r, coalesce(lead(support) OVER w, 0) AS rival FROM sup
+        WINDOW w AS (PARTITION BY cluster_id, field_path ORDER BY round(support, 12) DESC, trust DESC, value)) WHERE r = 1)
+"""
+
+#: Links between records of customers and suppliers, and their components, in SQL.
+LINKED = (
+    "WITH RECURSIVE "
+    + PEOPLE.strip()
+    + """,
+v AS (SELECT entity_key, email, phone, n, n_name, lower(seg) AS company, lower(n_name) AS city FROM c UNION ALL SELECT entity_key, email, phone, n, n_name, NULL, lower(n_name) FROM s),
+hub AS (SELECT entity_key, github FROM s),
+keys AS (SELECT entity_key, 'E:' || email AS k FROM v UNION ALL SELECT entity_key, 'P:' || right(phone, 9) FROM v UNION ALL SELECT entity_key, 'G:' || github FROM hub),
+pairs AS (SELECT DISTINCT a.entity_key AS l, b.entity_key AS r FROM keys a JOIN keys b ON a.k = b.k AND a.entity_key < b.entity_key),
+edges AS (SELECT l, r FROM pairs),
+both_ways AS (SELECT l AS a, r AS b FROM edges UNION SELECT r, l FROM edges),
+reach(a, b) AS (SELECT entity_key, entity_key FROM v UNION SELECT reach.a, both_ways.b FROM reach JOIN both_ways ON reach.b = both_ways.a),
+comp AS (SELECT a AS entity_key, min(b) AS cluster_id FROM reach GROUP BY a)
+"""
+)
+
+
+@query(
+    """SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z0-9._%+\\-]+@[A-Za-z0-9.\\-]+\\.[A-Za-z]{2,}')) AS raw FROM documents"""
+)
+def notes_email_extract(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(S.EMAIL), F.lit(0))).alias("raw"))
+
+
+@query("""SELECT doc_id, trim(raw) AS raw, 'P:' || right(regexp_replace(raw, '[^0-9]', '', 'g'), 9) AS phone_key
+FROM (SELECT doc_id, unnest(regexp_extract_all(text, '\\+?[0-9][0-9 \\t\\n\\r\\f\\x0B().\\-]{6,}[0-9]')) AS raw FROM documents)""")
+def notes_phone_extract(spark, sf_dir):
+    found = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(S.PHONE), F.lit(0))).alias("raw"))
+    return found.select("doc_id", F.trim("raw").alias("raw"), M.phone_key(F.col("raw")).alias("phone_key"))
+
+
+@query("""SELECT doc_id, count(*) AS blurbs, max(length(b)) AS longest FROM (SELECT doc_id, unnest(regexp_split_to_array(text, '\\n[ \\t\\n\\r\\f\\x0B]*\\n')) AS b FROM documents)
+WHERE regexp_matches(b, '[^ \\t\\n\\r\\f\\x0B]') GROUP BY doc_id""")
+def notes_blurb_split(spark, sf_dir):
+    blurbs = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", r"\n\s*\n")).alias("b")).where(F.col("b").rlike(r"\S"))
+    return blurbs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("blurbs"), F.max(F.length("b")).alias("longest"))
+
+
+@query("""WITH c AS (SELECT * FROM customer JOIN nation ON c_nationkey = n_nationkey)
+SELECT 'csv:' || c_custkey AS entity_key, 'full_name' AS field_path, 'person ' || (c_custkey % 4000) AS value, 'csv' AS source, 'direct_field' AS method FROM c
+UNION ALL SELECT 'csv:' || c_custkey, 'emails', 'C' || (c_custkey // 3) || '@' || lower(c_mktsegment) || '.com', 'csv', 'direct_field' FROM c
+UNION ALL SELECT 'csv:' || c_custkey, 'phones', '+1 415 555 ' || lpad((c_custkey % 9000 + 1000)::VARCHAR, 4, '0'), 'csv', 'direct_field' FROM c
+UNION ALL SELECT 'csv:' || c_custkey, 'experience', '{"company":"' || c_mktsegment || '","end":null,"start":null,"summary":null,"title":"' || n_name || '"}', 'csv', 'direct_field' FROM c
+UNION ALL SELECT 'csv:' || c_custkey, 'location', '{"city":null,"country":"' || n_name || '","region":"' || n_name || '"}', 'csv', 'direct_field' FROM c""")
+def csv_claims_unpivot(spark, sf_dir):
+    return customer_claims(spark, sf_dir).select("entity_key", "field_path", "value", "source", "method")
+
+
+@query("""SELECT 'ats:' || event_id AS entity_key, 'headline' AS field_path, json_extract_string(props, '$.k') AS value FROM events WHERE json_extract_string(props, '$.k') <> ''""")
+def json_field_remap(spark, sf_dir):
+    rows = keyed(table(spark, sf_dir, "events"), "ats", "event_id", 0)
+    return C.emit(rows, "ats", "field_remap", [C.scalar("headline", F.get_json_object("props", "$.k"))]).select("entity_key", "field_path", "value")
+
+
+@query("""SELECT p_partkey, unnest(list_distinct(list_filter(list_transform(string_split(replace(p_name, ' ', ','), ','), lambda x: trim(x)), lambda x: x <> ''))) AS skill FROM part""")
+def vocabulary_fanout(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", F.explode(S.split_skills(F.replace("p_name", F.lit(" "), F.lit(",")))).alias("skill"))
+
+
+@query("""SELECT p_partkey, array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ') AS name FROM part""")
+def name_title_case(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", N.name_column(F.col("p_name"))["value"].alias("name"))
+
+
+@query("""SELECT p_partkey, CASE WHEN p_size % 4 = 0 THEN 'PostgreSQL' WHEN p_size % 4 = 1 THEN 'Kubernetes' WHEN p_size % 4 = 2 THEN 'Go' ELSE 'Basket ' || p_brand END AS skill,
+CASE WHEN p_size % 4 = 3 THEN 0.85 ELSE 1.0 END::DOUBLE AS quality FROM part""")
+def alias_canonicalize(spark, sf_dir):
+    kind = F.col("p_size") % 4
+    raw = F.when(kind == 0, "Postgres").when(kind == 1, "k8s").when(kind == 2, "GO").otherwise(F.concat(F.lit("Basket "), "p_brand"))
+    return table(spark, sf_dir, "part").withColumn("r", N.skill_column(raw)).select("p_partkey", "r.value", "r.quality").withColumnRenamed("value", "skill")
+
+
+@query("""SELECT o_orderkey, strftime(o_orderdate, '%Y-%m') AS month FROM orders""")
+def date_year_month(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select("o_orderkey", N.date_column(F.date_format("o_orderdate", "MMMM d, yyyy"))["value"].alias("month"))
+
+
+@query("""SELECT 'csv:' || c_custkey AS entity_key, CASE c_nationkey % 5 WHEN 0 THEN 'FR' WHEN 1 THEN 'DE' WHEN 2 THEN 'BR' WHEN 3 THEN 'GB' END AS region FROM customer WHERE c_nationkey % 5 < 4""")
+def region_hint(spark, sf_dir):
+    rows = keyed(table(spark, sf_dir, "customer"), "csv", "c_custkey", 0)
+    named = F.element_at(F.array(*map(F.lit, ("France", "DEU", "br", "United Kingdom", "Atlantis"))), F.col("c_nationkey") % 5 + 1)
+    none = F.lit(None).cast("string")
+    return C.region_hints(C.emit(rows, "csv", "direct_field", [C.fields_object("location", city=none, region=none, country=named)]))
+
+
+@query("""SELECT field_path, source, failed_method, count(*) AS n FROM (
+SELECT 'phones' AS field_path, 'csv' AS source, 'e164_no_region' AS failed_method FROM customer WHERE c_custkey % 3 = 0) GROUP BY ALL""")
+def abstention_policy(spark, sf_dir):
+    rows = keyed(table(spark, sf_dir, "customer"), "csv", "c_custkey", 0)
+    raw = F.when(F.col("c_custkey") % 3 == 0, "555-0188").otherwise("+1 415 555 0101")
+    mail = F.when(F.col("c_custkey") % 2 == 0, "not-an-email").otherwise("a@b.org")
+    done = C.normalize(C.emit(rows, "csv", "direct_field", [C.scalar("phones", raw), C.scalar("emails", mail)]))
+    return done.where("abstained").groupBy("field_path", "source", "failed_method").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("WITH " + PEOPLE.strip() + """ SELECT entity_key, email AS emails, phone AS phones, NULL::VARCHAR AS github, lower(seg) AS companies, lower(n_name) AS cities, lower(seg) || '.com' AS domains, 'person ' || n AS name_norm FROM c
+UNION ALL SELECT entity_key, email, phone, github, '', lower(n_name), 'supply.org', 'person ' || n FROM s""")
+def record_views(spark, sf_dir):
+    views = R.records(normal(spark, sf_dir))
+    lists = [F.array_join(c, ",").alias(c) for c in ("emails", "phones", "companies", "cities", "domains")]
+    return views.select("entity_key", *lists, "github", "name_norm")
+
+
+@query(LINKED + "SELECT entity_key, k AS block_key FROM keys")
+def block_keys(spark, sf_dir):
+    return R.block_keys(R.records(normal(spark, sf_dir))).where("not startswith(block_key, 'N:')")
+
+
+@query(LINKED + "SELECT l AS \"left\", r AS \"right\" FROM pairs")
+def candidate_pairs(spark, sf_dir):
+    views = materialize(R.records(normal(spark, sf_dir)), "records")
+    return R.candidate_pairs(views, R.block_keys(views).where("not startswith(block_key, 'N:')"))
+
+
+@query(LINKED + """, near AS (SELECT a.entity_key AS l, b.entity_key AS r, a.email = b.email OR a.phone = b.phone OR coalesce(ga.github = gb.github, false) AS strong, a.n AS an, b.n AS bn,
+  coalesce(a.company = b.company, false) OR a.city = b.city OR (split_part(a.email, '@', 2) = split_part(b.email, '@', 2)) AS backed
+  FROM v a JOIN v b ON a.n_name = b.n_name AND a.entity_key < b.entity_key LEFT JOIN hub ga ON ga.entity_key = a.entity_key LEFT JOIN hub gb ON gb.entity_key = b.entity_key)
+SELECT l AS "left", r AS "right", CASE WHEN strong THEN 'tier1' WHEN an <> bn AND jaro_winkler_similarity('person ' || an, 'person ' || bn) < 0.92 THEN 'no_match' WHEN backed THEN 'tier2' ELSE 'tier3' END AS tier FROM near""")
+def cascade_tiers(spark, sf_dir):
+    views = materialize(R.records(normal(spark, sf_dir)), "records")
+    keys = views.select("entity_key", F.concat(F.lit("C:"), F.col("cities")[0]).alias("block_key"))
+    return R.classify(R.candidate_pairs(views, keys), views).select("left", "right", "tier")
+
+
+@query("""WITH c AS (SELECT 'csv:' || c_custkey AS k, c_custkey AS num FROM customer WHERE c_custkey % 100 < 2)
+SELECT a.k AS "left", b.k AS "right", 'john smith' AS left_name, 'john smith' AS right_name FROM c a JOIN c b ON a.num // 100 = b.num // 100 AND a.k < b.k""")
+def possible_duplicates(spark, sf_dir):
+    rows = keyed(table(spark, sf_dir, "customer").where("c_custkey % 100 < 2"), "csv", "c_custkey", 0)
+    parts = [C.scalar("full_name", F.lit("Smith, John")), C.scalar("phones", F.concat(F.lit("+1 415 555 "), F.lpad((F.col("c_custkey") % 9000 + 1000).cast("string"), 4, "0")))]
+    views = materialize(R.records(C.normalize(C.emit(rows, "csv", "direct_field", parts))), "records")
+    keys = views.select("entity_key", F.expr("split(entity_key, ':')[1] div 100").cast("string").alias("block_key"))
+    found = R.possible_duplicates(R.classify(R.candidate_pairs(views, keys), views))
+    return found.select("left", "right", "left_name", "right_name")
+
+
+@query(LINKED + "SELECT entity_key, cluster_id FROM comp")
+def connected_component_labels(spark, sf_dir):
+    views = materialize(R.records(normal(spark, sf_dir)), "records")
+    pairs = R.candidate_pairs(views, R.block_keys(views).where("not startswith(block_key, 'N:')"))
+    labels = connected_components(pairs, "left", "right").withColumnRenamed("node", "entity_key")
+    return views.select("entity_key").join(labels, "entity_key", "left").select("entity_key", F.coalesce("component", "entity_key").alias("cluster_id"))
+
+
+@query("""SELECT (o_custkey % 50)::VARCHAR AS cluster_id, CASE WHEN max(CASE WHEN o_orderstatus = 'F' THEN 2 WHEN o_orderstatus = 'O' THEN 1 ELSE 0 END) = 2 THEN 'tier2'
+WHEN max(CASE WHEN o_orderstatus = 'F' THEN 2 WHEN o_orderstatus = 'O' THEN 1 ELSE 0 END) = 1 THEN 'tier1' ELSE 'singleton' END AS tier FROM orders GROUP BY 1""")
+def weakest_tier(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("entity_key"), (F.col("o_custkey") % 50).cast("string").alias("cluster_id"), "o_orderstatus")
+    tier = F.when(F.col("o_orderstatus") == "F", "tier2").when(F.col("o_orderstatus") == "O", "tier1").otherwise("no_match")
+    return R.weakest_tiers(orders.select("entity_key", "cluster_id"), orders.select(F.col("entity_key").alias("left"), F.col("entity_key").alias("right"), tier.alias("tier")))
+
+
+@query("WITH " + PEOPLE.strip() + " SELECT cluster_id, substr(sha256('emails:' || min(value)), 1, 16) AS candidate_id FROM g WHERE field_path = 'emails' GROUP BY cluster_id")
+def stable_profile_id(spark, sf_dir):
+    return G.profile_ids(by_name(normal(spark, sf_dir)))
+
+
+@query("WITH " + PEOPLE.strip() + " SELECT cluster_id, field_path, value, round(support, 4) AS support, sources FROM sup WHERE field_path <> 'full_name'")
+def noisy_or_support(spark, sf_dir):
+    found = G.supports(by_name(normal(spark, sf_dir))).where("field_path <> 'full_name'")
+    return found.select("cluster_id", "field_path", "value", F.round("support", 4).alias("support"), F.array_join("sources", ",").alias("sources"))
+
+
+@query("""WITH b AS (SELECT (s_suppkey % 50)::VARCHAR AS cluster_id, n_name AS value FROM supplier JOIN nation ON s_nationkey = n_nationkey),
+s AS (SELECT cluster_id, value, count(*) AS n, 1 - product(1 - 0.9215) AS support FROM b GROUP BY cluster_id, value),
+r AS (SELECT *, row_number() OVER w AS k, coalesce(lead(support) OVER w, 0) AS rival FROM s WINDOW w AS (PARTITION BY cluster_id ORDER BY n DESC, value))
+SELECT cluster_id, 'headline' AS field_path, value, round(support * support / (support + rival), 4) AS confidence FROM r WHERE k = 1""")
+def single_valued_winner(spark, sf_dir):
+    rows = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    claims = C.emit(keyed(rows, "ats", "s_suppkey", 0), "ats", "field_remap", [C.scalar("headline", F.col("n_name"))])
+    grouped = claims.withColumn("cluster_id", (F.split("entity_key", ":")[1].cast("long") % 50).cast("string"))
+    return G.winners(G.supports(grouped))
+
+
+@query("WITH " + PEOPLE.strip() + """ SELECT cluster_id, field_path, array_to_string(list_sort(list(value)), ',') AS vals, round(max(support), 4) AS confidence
+FROM sup WHERE field_path IN ('emails', 'phones') GROUP BY cluster_id, field_path""")
+def multi_valued_union(spark, sf_dir):
+    found = G.unions(G.supports(by_name(normal(spark, sf_dir))))
+    return found.select("cluster_id", "field_path", F.array_join("values", ",").alias("vals"), "confidence")
+
+
+@query("""WITH b AS (SELECT p_size::VARCHAR AS cluster_id, p_brand AS name, 0.55 * 0.75 * 0.85 AS belief FROM part)
+SELECT cluster_id, name, round(1 - product(1 - belief::DOUBLE), 4) AS confidence, 'notes' AS sources FROM b GROUP BY cluster_id, name""")
+def skill_confidence(spark, sf_dir):
+    rows = keyed(table(spark, sf_dir, "part"), "notes", "p_partkey", 0)
+    claims = C.normalize(C.emit(rows, "notes", "regex_extract", [C.scalar("skills", F.col("p_brand"))]))
+    grouped = claims.join(rows.select("entity_key", F.col("p_size").cast("string").alias("cluster_id")), "entity_key")
+    each = G.skills(G.supports(grouped)).select("cluster_id", F.explode("skills").alias("s"))
+    return each.select("cluster_id", "s.name", "s.confidence", F.array_join("s.sources", ",").alias("sources"))
+
+
+@query("WITH " + PEOPLE.strip() + """ SELECT cluster_id, array_to_string(list_sort(list(value)), ';') AS jobs, round(max(support), 4) AS confidence FROM sup WHERE field_path = 'experience' GROUP BY cluster_id""")
+def object_union(spark, sf_dir):
+    found = G.objects(G.supports(by_name(normal(spark, sf_dir))), "experience", G.EXPERIENCE)
+    text = F.transform("objects", lambda o: F.to_json(F.struct(o["company"].alias("company"), o["end"].alias("end"), o["start"].alias("start"), o["summary"].alias("summary"), o["title"].alias("title")), {"ignoreNullFields": "false"}))
+    return found.select("cluster_id", F.array_join(text, ";").alias("jobs"), "confidence")
+
+
+@query("WITH " + PEOPLE.strip() + """ SELECT cluster_id, NULL::VARCHAR AS linkedin, value AS github, round(support * support / (support + rival), 4) AS confidence FROM won WHERE field_path = 'links.github'""")
+def link_pivot(spark, sf_dir):
+    found = G.links(G.winners(G.supports(by_name(normal(spark, sf_dir)))))
+    return found.select("cluster_id", "links.linkedin", "links.github", "confidence")
+
+
+@query("WITH " + PEOPLE.strip() + """ SELECT cluster_id, array_to_string(list_sort(list_distinct(list(field_path || '/' || source || '/' || method))), ',') AS provenance FROM g GROUP BY cluster_id""")
+def provenance_triples(spark, sf_dir):
+    found = G.provenance(by_name(normal(spark, sf_dir)))
+    return found.select("cluster_id", F.array_join(F.array_sort(F.transform("provenance", lambda p: F.concat_ws("/", p["field"], p["source"], p["method"]))), ",").alias("provenance"))
+
+
+@query("""WITH f AS (SELECT c_custkey, (c_custkey % 10) / 10.0::DOUBLE AS name, (c_custkey % 7) / 7.0::DOUBLE AS mail, (c_custkey % 3) / 3.0::DOUBLE AS links FROM customer)
+SELECT c_custkey, round(0.97 * ((0.0 + 3 * mail + 3 * name + 1 * links) / 7.0) * (0.5 + 0.5 * greatest(name, mail)), 4) AS confidence FROM f""")
+def overall_confidence(spark, sf_dir):
+    number = F.col("c_custkey")
+    known = F.create_map(F.lit("emails"), (number % 7) / F.lit(7.0), F.lit("full_name"), (number % 10) / F.lit(10.0), F.lit("links"), (number % 3) / F.lit(3.0))
+    return table(spark, sf_dir, "customer").select("c_custkey", G.overall(known, F.lit(0.97)).alias("confidence"))
+
+
+def _profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Profiles of customers, each its own cluster."""
+    claims = materialize(C.normalize(customer_claims(spark, sf_dir)).withColumn("cluster_id", F.col("entity_key")), "claims")
+    tiers = claims.select("cluster_id").distinct().withColumn("tier", F.lit("singleton"))
+    return G.merge(claims, tiers)
+
+
+@query("WITH " + PEOPLE.strip() + """ SELECT entity_key AS cluster_id, email AS first_email, email AS last_email, NULL::VARCHAR AS far_email, n_name AS region, seg AS companies, NULL::VARCHAR AS github FROM c""")
+def project_paths(spark, sf_dir):
+    schema = profile_schema()
+
+    def at(path: str):
+        return compiled(parse(path), schema)[0]
+
+    return _profiles(spark, sf_dir).select("cluster_id", at("emails[0]").alias("first_email"), at("emails[-1]").alias("last_email"), at("emails[5]").alias("far_email"), at("location.region").alias("region"), F.array_join(at("experience[].company"), ",").alias("companies"), at("links.github").alias("github"))
+
+
+@query("WITH " + PEOPLE.strip() + """ SELECT 'Person ' || n AS name, email AS mail, NULL::VARCHAR AS headline, 'headline' AS omitted FROM c""")
+def on_missing_matrix(spark, sf_dir):
+    config = from_dict({"fields": [{"path": "name", "from": "full_name", "required": True}, {"path": "mail", "from": "emails[0]"}, {"path": "headline", "on_missing": "omit"}]})
+    return project(_profiles(spark, sf_dir), config).select("name", "mail", "headline", F.array_join("_omitted", ",").alias("omitted"))
+
+
+@query("WITH " + PEOPLE.strip() + """ SELECT email AS mail, 0.85 AS mail_confidence, 0.0 AS headline_confidence, 0.7225 AS name_confidence FROM c""")
+def confidence_sibling(spark, sf_dir):
+    config = from_dict({"fields": [{"path": "mail", "from": "emails[0]"}, {"path": "name", "from": "full_name"}, {"path": "headline"}], "include_confidence": True})
+    of = [F.col("confidence")[k].alias(f"{k}_confidence") for k in ("mail", "headline", "name")]
+    return project(_profiles(spark, sf_dir), config).select("mail", *of)
+
+
+@query(LINKED + """, members AS (SELECT cluster_id, count(*) AS n FROM comp GROUP BY cluster_id)
+SELECT cluster_id, substr(sha256('emails:' || min(v.email)), 1, 16) AS candidate_id, array_to_string(list_sort(list_distinct(list(v.email))), ',') AS emails, array_to_string(list_sort(list_distinct(list(v.phone))), ',') AS phones, count(DISTINCT v.entity_key) AS records
+FROM comp JOIN v USING (entity_key) GROUP BY cluster_id""")
+def resolved_profiles(spark, sf_dir):
+    """Records linked by identifiers alone, and their profiles."""
+    claims = materialize(normal(spark, sf_dir), "claims")
+    views = materialize(R.records(claims), "records")
+    pairs = R.candidate_pairs(views, R.block_keys(views).where("not startswith(block_key, 'N:')"))
+    tiers = R.classify(pairs, views).where("tier = 'tier1'")
+    clusters = materialize(R.components(views, tiers), "clusters")
+    merged = G.merge(claims.join(clusters, "entity_key"), R.weakest_tiers(clusters, tiers))
+    size = clusters.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("records"))
+    return merged.join(size, "cluster_id").select("cluster_id", "candidate_id", F.array_join("emails", ",").alias("emails"), F.array_join("phones", ",").alias("phones"), "records")
+
+
+@query()
+def full_profiles(spark, sf_dir):
+    """Notes, customers and suppliers through the whole engine."""
+    claims = note_claims(spark, sf_dir).unionByName(people(spark, sf_dir))
+    profiles, _ = profiles_of(claims)
+    return profiles.select("candidate_id", "full_name", F.array_join("emails", ",").alias("emails"), F.array_join("phones", ",").alias("phones"), F.array_join(F.transform("skills", lambda s: s["name"]), ",").alias("skills"), F.size("experience").alias("jobs"), F.size("abstentions").alias("abstentions"), "overall_confidence")
