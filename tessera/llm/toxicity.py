@@ -38,7 +38,7 @@ BITS = 20
 #: Labelled texts of each class to learn from at most.
 SAMPLE_ROWS = 3000
 #: Features to fit at most.
-FEATURES = 1 << 15
+FEATURES = 1 << 14
 #: Least |r| in standard errors of r.
 LEAST_Z = 3.0
 
@@ -88,22 +88,26 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(total + self.intercept, -30, 30)))
 
 
-def fit(doc: np.ndarray, feature: np.ndarray, ratio: np.ndarray, toxic: np.ndarray, share: float, l2: float = 0.02, steps: int = 300) -> tuple[np.ndarray, float]:
-    """Weights of the unscaled features and the intercept, for a corpus with that share of toxic texts."""
+def fit(doc: np.ndarray, feature: np.ndarray, ratio: np.ndarray, toxic: np.ndarray, l2: float = 0.02, steps: int = 300) -> tuple[np.ndarray, float]:
+    """Weights of the unscaled features and the intercept; both classes weigh alike, however many texts they have."""
     n, w, b = len(toxic), np.zeros(len(ratio)), 0.0
     m, v, mb, vb = np.zeros(len(ratio)), np.zeros(len(ratio)), 0.0, 0.0
-    x = ratio[feature]
     row_weight = np.where(toxic == 1, 0.5 / max(1, (toxic == 1).sum()), 0.5 / max(1, (toxic == 0).sum()))
+    cuts = np.searchsorted(doc, np.arange(0, n + 512, 512))
     for t in range(1, steps + 1):
-        z = np.bincount(doc, w[feature] * x, n) + b
+        scaled, z, g = w * ratio, np.full(n, b), np.zeros(len(ratio))
+        for at, to in zip(cuts, cuts[1:], strict=False):  # few temporary values at a time
+            z += np.bincount(doc[at:to], scaled[feature[at:to]], n)
         error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - toxic) * row_weight
-        g, gb = np.bincount(feature, error[doc] * x, len(ratio)) + l2 * w / n, error.sum()
+        for at, to in zip(cuts, cuts[1:], strict=False):
+            g += np.bincount(feature[at:to], error[doc[at:to]], len(ratio))
+        g, gb = g * ratio + l2 * w / n, error.sum()
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         mb, vb = 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
         rate = 0.05 * (1 - t / (steps + 1))
         w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
         b -= rate * (mb / (1 - 0.9**t)) / (np.sqrt(vb / (1 - 0.99**t)) + 1e-8)
-    return w * ratio, b + float(np.log(share / (1 - share)))
+    return w * ratio, b
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = SAMPLE_ROWS) -> Model:
@@ -152,9 +156,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), lists], ["id", "y", "features"])
 
     schema = sample.schema
-    rows = sample.mapInArrow(pick, f"id {schema['id'].dataType.simpleString()}, y int, features array<int>").toPandas().sort_values("id")
-    doc = np.repeat(np.arange(len(rows)), rows["features"].map(len))
-    weight, intercept = fit(doc, np.concatenate(rows["features"].to_numpy()).astype(np.int64), best["r"].to_numpy(), rows["y"].to_numpy(), share)
+    rows = sample.mapInArrow(pick, f"id {schema['id'].dataType.simpleString()}, y int, features array<int>").orderBy("id").toArrow()
+    lists = rows["features"].combine_chunks()
+    doc = np.repeat(np.arange(len(rows), dtype=np.int32), np.diff(lists.offsets.to_numpy()))
+    weight, intercept = fit(doc, lists.flatten().to_numpy(), best["r"].to_numpy(), rows["y"].to_numpy())
     return Model(code, weight, intercept)
 
 
