@@ -29,7 +29,7 @@ from functools import cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Steps after which the shared random bits repeat.
@@ -39,6 +39,8 @@ SAMPLES = 96
 LEAST_LEVEL = 6
 #: Bytes of text in a part of the documents that one task orders.
 PART_BYTES = 12 << 20
+#: Parts at most; larger inputs get larger parts, which are sorted on disk and read as a stream.
+MOST_PARTS = 1 << 13
 #: Cells of the table of characters that are walked over at once.
 CELLS = 4 << 20
 SEED = 20160619
@@ -121,25 +123,38 @@ def likeness(a: bytes, b: bytes) -> float:
     return float((x == y)[either].mean()) if either.any() else 1.0
 
 
+def _place(bounds: list[int]) -> Column:
+    """How many of the ascending ``bounds`` are below the id; by groups of about the root of their number."""
+    if not bounds:
+        return F.lit(0)
+    width = max(1, int(len(bounds) ** 0.5))
+    every, ends = F.lit(np.array(bounds, np.int64)), F.lit(np.array(bounds[width - 1 :: width], np.int64))
+    group = F.size(F.filter(ends, lambda b: b < F.col("id"))) * width
+    return group + F.size(F.filter(F.slice(every, group + 1, width), lambda b: b < F.col("id")))
+
+
 def _ordered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(part, after, id, text): parts in the order of ids; with ``after``, the first row of the next part."""
     kept = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     size = kept.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(1, -(-size // PART_BYTES))
+    parts = min(MOST_PARTS, max(1, -(-size // PART_BYTES)))
     bounds = []
     if parts > 1:
         bounds = kept.agg(F.percentile_approx("id", F.array(*[F.lit(i / parts) for i in range(1, parts)]), 10_000)).first()[0]
         bounds = sorted(set(bounds or []))
-    part = F.coalesce(F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < F.col("id"))), F.lit(0)) if bounds else F.lit(0)
-    kept = kept.withColumn("part", F.when(F.col("id").isNull(), 0).otherwise(part))
-    firsts = [tuple(r) for r in kept.groupBy("part").agg(F.min("id"), F.count_if(F.col("id").isNull())).orderBy("part").collect()]
-    leads = [(None if nulls else least, firsts[i - 1][0]) for i, (_, least, nulls) in enumerate(firsts)]
-    again = F.array(*[F.struct(F.lit(to).alias("part"), F.lit(True).alias("after"), F.col("id").eqNullSafe(F.lit(i).cast("long")).alias("is")) for i, to in leads]) if leads else F.array()
-    own = F.array(F.struct(F.col("part"), F.lit(False).alias("after"), F.lit(True).alias("is")))
-    if leads:
-        own = F.concat(own, F.filter(again, lambda x: x["is"]))
-    spread = kept.withColumn("p", F.explode(own)).select("p.part", "p.after", "id", "text")
-    return spread.repartition(max(1, len(firsts)), "part").sortWithinPartitions("part", "after", F.asc_nulls_first("id"), F.asc_nulls_first("text"))
+    kept = kept.withColumn("part", F.when(F.col("id").isNull(), 0).otherwise(_place(bounds)))
+    firsts = {r["part"]: r for r in kept.groupBy("part").agg(F.min("id").alias("least"), F.count_if(F.col("id").isNull()).alias("nulls")).collect()}
+    order = sorted(firsts)
+    before = dict(zip(order, [*order[-1:], *order[:-1]], strict=True))
+    least = np.array([firsts[p]["least"] or 0 if p in firsts else 0 for p in range(len(bounds) + 1)], np.int64)
+    to = np.array([before.get(p, 0) for p in range(len(bounds) + 1)], np.int32)
+    # nulls come first, so that they are the first rows of their part
+    null_first = any(firsts[p]["nulls"] for p in order)
+    first = (F.col("id").isNull() if null_first else F.lit(False)) | (F.col("id") == F.element_at(F.lit(least), F.col("part") + 1)) & ~((F.col("part") == 0) & F.lit(null_first))
+    own = F.struct("part", F.lit(False).alias("after"))
+    again = F.struct(F.element_at(F.lit(to), F.col("part") + 1).alias("part"), F.lit(True).alias("after"))
+    spread = kept.withColumn("p", F.explode(F.when(first, F.array(own, again)).otherwise(F.array(own)))).select("p.part", "p.after", "id", "text")
+    return spread.repartition(max(1, len(order)), "part").sortWithinPartitions("part", "after", F.asc_nulls_first("id"), F.asc_nulls_first("text"))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
