@@ -30,7 +30,7 @@ from tessera.llm.text import slices, utf8
 #: log2 of the mean bytes of a chunk.
 BITS = 5
 #: Bytes of a run that is reported.
-LEAST_RUN = 160
+LEAST_RUN = 112
 
 
 def chunk_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS) -> DataFrame:

@@ -37,12 +37,16 @@ def _hash(line: Column) -> Column:
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.withColumn("_w_id", F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST))).withColumn("_w_tie", F.xxhash64(text)).withColumn("_w_lines", F.split(text, "\n", -1))
+    return docs.withColumn("_w_id", F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST))).withColumn("_w_tie", F.xxhash64(text))
+
+
+def _lines(text_col: str) -> Column:
+    return F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1)
 
 
 def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, least_chars: int = LEAST_CHARS) -> DataFrame:
     """(_w_id, _w_tie, _w_runs): the first and last line of each run to delete, of each text that has any."""
-    keyed = _keyed(docs, id_col, text_col)
+    keyed = _keyed(docs, id_col, text_col).withColumn("_w_lines", _lines(text_col))
     lines = keyed.select("_w_id", "_w_tie", F.transform("_w_lines", _hash).alias("h"), F.transform("_w_lines", F.length).alias("n"))
     lines = materialize(lines, "lines")
     starts = F.sequence(F.lit(0), F.greatest(F.size("h") - window, F.lit(0)))
@@ -70,7 +74,7 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, least_chars: int = LEAST_CHARS) -> DataFrame:
     """``docs`` without the repeated runs, with ``_w_n_lines`` and ``_w_n_deleted``."""
     runs = repeated_runs(docs, id_col, text_col, window, least_chars)
-    joined = _keyed(docs, id_col, text_col).join(runs, ["_w_id", "_w_tie"], "left")
+    joined = _keyed(docs, id_col, text_col).join(runs, ["_w_id", "_w_tie"], "left").withColumn("_w_lines", _lines(text_col))
     kept = F.filter("_w_lines", lambda line, i: ~F.exists("_w_runs", lambda r: (r["start"] <= i) & (i <= r["last"])))
     joined = joined.withColumn("_w_kept", F.when(F.col("_w_runs").isNotNull(), kept).otherwise(F.col("_w_lines")))
     text = F.when(F.col("_w_runs").isNotNull(), F.array_join("_w_kept", "\n")).otherwise(F.col(text_col))
