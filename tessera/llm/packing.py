@@ -19,12 +19,14 @@ no rows. Only the id and the text column are read.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,7 +34,10 @@ from tessera.llm.text import Words, slices
 from tessera.operators.storage import materialize
 
 #: Words whose ids a Python worker remembers at most; speed only.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 1_200_000
+_MARKS = ".,;:!?"
+#: Words that are one run of letters to any tokenizer: Latin-1 letters.
+_LETTERS = re.compile("[a-zß-öø-ÿÀ-ÖØ-Þ]+")
 #: Pieces that are packed together, about.
 GROUP_ROWS = 32_768
 
@@ -52,6 +57,10 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        #: Of each id, whether its token ends a word.
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
 
     @classmethod
     def at(cls, path: str) -> Encoder:
@@ -60,21 +69,43 @@ class Encoder:
             cls._made[path] = cls(path)
         return cls._made[path]
 
+    def _learn(self, plain: list[str], others: list[str]) -> None:
+        """``plain`` words give one run of tokens each, whose last one ends a word, so that many are encoded as one text."""
+        for at in range(0, len(plain), 5_000):
+            part = plain[at : at + 5_000]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) != len(part):
+                others = others + part
+                continue
+            raw = ids.tobytes()
+            for w, a, b in zip(part, [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+                self.known[w] = raw[4 * a : 4 * b]
+        for at in range(0, len(others), 5_000):
+            part = others[at : at + 5_000]
+            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                self.known[w] = np.array(e.ids, "<u4").tobytes()
+
     def words(self, words: list[str]) -> list[bytes]:
+        """Ids of each word, as little-endian 32-bit numbers."""
+        if len(self.known) + 2 * len(words) > CACHE_WORDS:
+            self.known.clear()
         known = self.known
         if new := [w for w in words if w not in known]:
-            if len(known) + len(new) > CACHE_WORDS:
-                known.clear()
-                new = words
-            for at in range(0, len(new), 20_000):
-                part = new[at : at + 20_000]
-                for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                    known[w] = np.array(e.ids, "<u4").tobytes()
+            # punctuation after a letter or digit is split off by the tokenizer too
+            stems = [w.rstrip(_MARKS) for w in new]
+            cut = [len(s) if s and s[-1].isascii() and s[-1].isalnum() else len(w) for w, s in zip(new, stems, strict=True)]
+            parts = dict.fromkeys(x for w, n in zip(new, cut, strict=True) for x in (w[:n], w[n:]) if x and x not in known)
+            self._learn([w for w in parts if _LETTERS.fullmatch(w)], [w for w in parts if not _LETTERS.fullmatch(w)])
+            for w, n in zip(new, cut, strict=True):
+                if n < len(w):
+                    known[w] = known[w[:n]] + known[w[n:]]
         return [known[w] for w in words]
 
     def ids(self, texts: pa.Array, end: int = 0) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, each with ``end`` after it, and the offsets of each text in them."""
-        words = Words(texts, lower=False)
+        # the tokenizer lowers letters; special tokens are told by their case before that
+        words = Words(texts, lower=not pc.any(pc.match_substring(texts, "<|")).as_py())
         coded = words.array().dictionary_encode()
         each = self.words(coded.dictionary.to_pylist())
         flat = np.frombuffer(b"".join(each), "<u4")
