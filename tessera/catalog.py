@@ -235,11 +235,11 @@ def candidate_pairs(spark, sf_dir):
 
 @query(LINKED + """, near AS (SELECT a.entity_key AS l, b.entity_key AS r, a.email = b.email OR a.phone = b.phone OR coalesce(ga.github = gb.github, false) AS strong, a.n AS an, b.n AS bn,
   coalesce(a.company = b.company, false) OR a.city = b.city OR (split_part(a.email, '@', 2) = split_part(b.email, '@', 2)) AS backed
-  FROM v a JOIN v b ON a.n_name = b.n_name AND a.entity_key < b.entity_key LEFT JOIN hub ga ON ga.entity_key = a.entity_key LEFT JOIN hub gb ON gb.entity_key = b.entity_key)
+  FROM v a JOIN v b ON a.n_name = b.n_name AND a.n % 10 = b.n % 10 AND a.entity_key < b.entity_key LEFT JOIN hub ga ON ga.entity_key = a.entity_key LEFT JOIN hub gb ON gb.entity_key = b.entity_key)
 SELECT l AS "left", r AS "right", CASE WHEN strong THEN 'tier1' WHEN an <> bn AND jaro_winkler_similarity('person ' || an, 'person ' || bn) < 0.92 THEN 'no_match' WHEN backed THEN 'tier2' ELSE 'tier3' END AS tier FROM near""")
 def cascade_tiers(spark, sf_dir):
     views = materialize(R.records(normal(spark, sf_dir)), "records")
-    keys = views.select("entity_key", F.concat(F.lit("C:"), F.col("cities")[0]).alias("block_key"))
+    keys = views.select("entity_key", F.concat(F.lit("C:"), F.col("cities")[0], F.lit(":"), F.substring("name_norm", -1, 1)).alias("block_key"))
     return R.classify(R.candidate_pairs(views, keys), views).select("left", "right", "tier")
 
 
