@@ -1,4 +1,4 @@
-"""python -m tessera.cli --inputs FILE_OR_FOLDER ... --config FILE [--out FILE] [--recorded FOLDER]
+"""python -m tessera.cli --inputs FILE_OR_FOLDER ... --config FILE [--out FILE] [--recorded FOLDER] [--live]
 
 Exit codes: 2 for a bad config, 1 for output that breaks it.
 """
@@ -21,6 +21,7 @@ def main(arguments: list[str] | None = None) -> int:
     parser.add_argument("-c", "--config", required=True, help="output program, JSON")
     parser.add_argument("-o", "--out", help="write the JSON here instead of printing it")
     parser.add_argument("--recorded", default="fixtures/github", help="folder of recorded profiles")
+    parser.add_argument("--live", action="store_true", help="ask the web service for profiles instead; not repeatable")
     given = parser.parse_args(arguments)
     try:
         config = load(given.config)
@@ -29,7 +30,7 @@ def main(arguments: list[str] | None = None) -> int:
         return 2
     spark = SparkSession.builder.appName("tessera").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     try:
-        result = run(spark, given.inputs, config, given.recorded)
+        result = run(spark, given.inputs, config, given.recorded, given.live)
         text = write_json(result.output, given.out)
     except (ProjectionError, OutputValidationError) as e:
         print(f"projection error: {e}", file=sys.stderr)

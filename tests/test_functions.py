@@ -86,3 +86,11 @@ def test_match_names():
     assert M.sound_key(M.match_name("Park, Jonathan")) == M.sound_key("jonathan park")
     assert M.match_name("Иван") == "" and M.sound_key("") is None
     assert not M.alike("", "") and M.alike("jon park", "jon park")
+
+
+def test_sql_names(spark):
+    from tessera.functions.register import register
+
+    assert "jaro_winkler" in register(spark)
+    row = spark.sql("select jaro_winkler('martha', 'marhta') a, token_set_ratio('b a', 'a b') b, e164('020 7946 0958', 'GB') c, strip_accents('é') d, skill_canonical('k8s') e, jaro_winkler(null, 'x') f, match_name('Park, Jonathan') g").first()
+    assert row["a"] == pytest.approx(0.9611, abs=1e-4) and (row["b"], row["c"], row["d"], row["e"], row["f"], row["g"]) == (100.0, "+442079460958", "e", "Kubernetes", None, "jonathan park")
