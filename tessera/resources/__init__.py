@@ -1,10 +1,10 @@
 """Packaged tables."""
 
 import json
+import pkgutil
 from functools import cache
-from pathlib import Path
 
 
 @cache
 def load(name: str) -> dict:
-    return json.loads((Path(__file__).parent / f"{name}.json").read_text(encoding="utf-8"))
+    return json.loads(pkgutil.get_data(__name__, f"{name}.json"))
