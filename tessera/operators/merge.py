@@ -34,14 +34,21 @@ def believed(claims: DataFrame) -> DataFrame:
     return live(claims).withColumn("trust", checked.cast("double")).withColumn("belief", F.col("trust") * rel * F.col("norm_quality"))
 
 
-def noisy_or(belief: Column) -> Column:
-    """1 - product of (1 - belief), in a fixed order."""
-    return 1 - F.aggregate(F.sort_array(F.collect_list(belief)), F.lit(1.0), lambda a, x: a * (1 - x))
+def noisy_or(counted: Column) -> Column:
+    """1 - product of (1 - belief) ** n over structs (belief, n), in the order of beliefs."""
+    return 1 - F.aggregate(F.sort_array(counted), F.lit(1.0), lambda a, x: a * F.pow(1 - x["belief"], x["n"]))
 
 
 def supports(claims: DataFrame) -> DataFrame:
-    """For each cluster, field and distinct value: combined support, best trust, sources."""
-    return believed(claims).groupBy("cluster_id", "field_path", "value").agg(noisy_or(F.col("belief")).alias("support"), F.max("trust").alias("trust"), F.array_sort(F.collect_set("source")).alias("sources"))
+    """For each cluster, field and distinct value: combined support, best trust, sources.
+
+    Claims are counted by belief and source before they are gathered, so that a value which very many claims repeat
+    is gathered as a few counts. The result is laid out by cluster for the reducers.
+    """
+    key = ["cluster_id", "field_path", "value"]
+    counted = believed(claims).groupBy(*key, "source", "trust", "belief").agg(F.count(F.lit(1)).alias("n"))
+    found = counted.groupBy(*key).agg(noisy_or(F.collect_list(F.struct("belief", "n"))).alias("support"), F.max("trust").alias("trust"), F.array_sort(F.collect_set("source")).alias("sources"))
+    return found.repartition("cluster_id")
 
 
 def winners(supported: DataFrame) -> DataFrame:
@@ -93,20 +100,16 @@ def links(won: DataFrame) -> DataFrame:
     return pivot.select("cluster_id", F.struct(*LINKS, F.array().cast("array<string>").alias("other")).alias("links"), "confidence")
 
 
-def provenance(claims: DataFrame) -> DataFrame:
-    """(cluster_id, provenance): who said anything of which field, how; losers and abstentions too."""
-    triple = F.struct(F.col("field_path").alias("field"), "source", "method")
-    return claims.groupBy("cluster_id").agg(F.sort_array(F.collect_set(triple)).alias("provenance"))
+def _provenance() -> Column:
+    return F.sort_array(F.collect_set(F.struct(F.col("field_path").alias("field"), "source", "method"))).alias("provenance")
 
 
-def abstentions(claims: DataFrame) -> DataFrame:
-    """(cluster_id, abstentions): which field of which source could not be used, and why."""
+def _abstentions() -> Column:
     triple = F.struct(F.col("field_path").alias("field"), "source", F.col("failed_method").alias("reason"))
-    return claims.groupBy("cluster_id").agg(F.sort_array(F.collect_set(F.when(F.col("abstained"), triple))).alias("abstentions"))
+    return F.sort_array(F.collect_set(F.when(F.col("abstained"), triple))).alias("abstentions")
 
 
-def profile_ids(claims: DataFrame) -> DataFrame:
-    """(cluster_id, candidate_id): a digest of the least address, number, login or name, or else of the records."""
+def _identity() -> Column:
     value, field, alive = F.col("value"), F.col("field_path"), ~F.col("abstained")
 
     def least(name: str) -> Column:
@@ -114,7 +117,22 @@ def profile_ids(claims: DataFrame) -> DataFrame:
 
     keys = F.concat(F.lit("entity_key:"), F.array_join(F.array_sort(F.collect_set("entity_key")), "|"))
     identity = F.coalesce(least("emails"), least("phones"), least("links.github"), least("full_name"), keys)
-    return claims.groupBy("cluster_id").agg(F.substring(F.sha2(identity, 256), 1, 16).alias("candidate_id"))
+    return F.substring(F.sha2(identity, 256), 1, 16).alias("candidate_id")
+
+
+def provenance(claims: DataFrame) -> DataFrame:
+    """(cluster_id, provenance): who said anything of which field, how; losers and abstentions too."""
+    return claims.groupBy("cluster_id").agg(_provenance())
+
+
+def abstentions(claims: DataFrame) -> DataFrame:
+    """(cluster_id, abstentions): which field of which source could not be used, and why."""
+    return claims.groupBy("cluster_id").agg(_abstentions())
+
+
+def profile_ids(claims: DataFrame) -> DataFrame:
+    """(cluster_id, candidate_id): a digest of the least address, number, login or name, or else of the records."""
+    return claims.groupBy("cluster_id").agg(_identity())
 
 
 def overall(confidences: Column, cluster_confidence: Column) -> Column:
@@ -147,7 +165,7 @@ def merge(claims: DataFrame, tiers: DataFrame) -> DataFrame:
     single = won.where(F.col("field_path").isin(*SINGLE))
     known = pairs(single, F.col("field_path")).union(pairs(lists, F.col("field_path"))).union(pairs(skill, F.lit("skills"))).union(pairs(jobs, F.lit("experience"))).union(pairs(linked, F.lit("links")))
     known = known.groupBy("cluster_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("field", "confidence")))).alias("field_conf"))
-    base = profile_ids(claims).join(tiers, "cluster_id").join(provenance(claims), "cluster_id").join(abstentions(claims), "cluster_id")
+    base = claims.groupBy("cluster_id").agg(_identity(), _provenance(), _abstentions()).join(tiers, "cluster_id")
     for part in (
         single.groupBy("cluster_id").agg(*[one(f) for f in SINGLE]),
         lists.groupBy("cluster_id").agg(*[F.first(F.when(F.col("field_path") == f, F.col("values")), ignorenulls=True).alias(f) for f in LISTS]),
