@@ -1,12 +1,13 @@
 """Media columns stored as deduplicated content-defined chunks.
 
 A payload is cut by a gear rolling hash. Its stored form is a header, the ordered list of its
-chunks (length and digest) and the chunks' bytes; the bytes of equal chunks are kept once, in a
-chunk store keyed by digest. Reading back joins the ordered lists with the store,
-verifies every chunk against its digest, and puts the payload together.
+chunks (length and digest) and the chunks' bytes. Digests are counted over all distinct payloads. Chunks that
+several payloads have are kept once, in a store keyed by digest; those that one payload alone
+has stay with it. Reading back joins the ordered lists with the store, verifies every chunk against
+its digest, and puts the payload together.
 
 Equal payloads share one list, so a text that a third of all rows have is stored and read once. Chunk
-bytes are compressed one by one before they are shuffled.
+bytes are compressed one by one before they are shuffled, and only shared ones are shuffled twice.
 
 Edge cases: a null text is empty and is stored as padding; repeated rows get equal values;
 null ids are kept; an empty table gives no rows. Only the id and the text
@@ -40,6 +41,8 @@ FRAME = 192
 #: Digests that a task remembers to send a chunk's bytes once only.
 REMEMBERED = 200_000
 LEVEL = 6
+#: Bits of the filter of shared digests.
+FILTER_BITS = 1 << 25
 
 #: An entry of a chunk list: length and digest; the header: mark, bytes of the payload, chunks.
 ENTRY, ENTRY_BYTES, HEAD = "<I16s", 20, "<6sQI"
@@ -81,24 +84,85 @@ def lists(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return kept.mapInArrow(run, f"id {kept.schema['id'].dataType.simpleString()}, key binary, n_bytes long, list binary")
 
 
-def chunk_store(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(digest, bytes): every distinct chunk once, compressed."""
+def _slots(digests: np.ndarray) -> np.ndarray:
+    """Four bits of the filter for each digest, a row of four 32-bit numbers."""
+    return digests & np.uint32(FILTER_BITS - 1)
+
+
+def shared_filter(entries: DataFrame) -> np.ndarray:
+    """A Bloom filter of fixed size of the digests that two payloads or more have.
+
+    A digest that it holds wrongly is moved through the store without need; none is missed.
+    """
+
+    def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            digests = np.frombuffer(b"".join(batch.column(0).to_pylist()), "<u4").reshape(-1, 4)
+            at = np.unique(_slots(digests))
+            yield pa.RecordBatch.from_arrays([pa.array((at >> 5).astype(np.int32)), pa.array(np.int64(1) << (at & 31).astype(np.int64))], ["word", "bits"])
+
+    digests = entries.select("key", "list").mapInArrow(_spread, SPREAD).select("key", "digest").distinct()
+    shared = digests.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digest")
+    words = shared.mapInArrow(slots, "word int, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    out = np.zeros(FILTER_BITS >> 5, np.uint32)
+    out[words["word"].to_numpy()] = words["bits"].to_numpy().astype(np.uint32)
+    return out
+
+
+def _may_be_shared(filter_: np.ndarray, digests: list[bytes]) -> np.ndarray:
+    at = _slots(np.frombuffer(b"".join(digests), "<u4").reshape(-1, 4))
+    return ((filter_[at >> np.uint32(5)] >> (at & np.uint32(31))) & np.uint32(1)).all(axis=1)
+
+
+def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, nth, digest) of each entry of (key, list)."""
+    for batch in batches:
+        keys, nth, digests = [], [], []
+        for key, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for i, (_, digest) in enumerate(struct.iter_unpack(ENTRY, packed)):
+                keys.append(key)
+                nth.append(i)
+                digests.append(digest)
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(nth, pa.int32()), pa.array(digests, pa.binary())], ["key", "nth", "digest"])
+
+
+SPREAD = "key binary, nth int, digest binary"
+
+
+def chunk_rows(docs: DataFrame, filter_: np.ndarray, shared: bool, text_col: str = "text") -> DataFrame:
+    """(key, nth, digest, bytes) of the chunks that the filter calls shared, or of the others, compressed.
+
+    A task sends a shared chunk once, and the chunks of equal payloads once.
+    """
+    known = docs.sparkSession.sparkContext.broadcast(filter_)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press, sent = zstandard.ZstdCompressor(level=LEVEL, write_content_size=True), set()
+
+        def first(what: bytes) -> bool:
+            if what in sent:
+                return False
+            if len(sent) >= REMEMBERED:
+                sent.clear()
+            sent.add(what)
+            return True
+
         for batch in batches:
             for _, texts in slices(batch, "text"):
-                _, starts, ends, digests, whole = chunk_list(payloads(texts))
+                parts = payloads(texts)
+                doc, starts, ends, digests, whole = chunk_list(parts)
+                keys = [hashlib.sha256(p).digest() for p in parts]
+                new = None if shared else [first(k) for k in keys]
+                firsts = np.searchsorted(doc, doc)
                 out = []
-                for a, b, d in zip(starts.tolist(), ends.tolist(), digests, strict=True):
-                    if d not in sent:
-                        if len(sent) >= REMEMBERED:
-                            sent.clear()
-                        sent.add(d)
-                        out.append((d, press.compress(whole[a:b])))
-                yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in out], pa.binary()), pa.array([z for _, z in out], pa.binary())], ["digest", "bytes"])
+                for i in np.flatnonzero(_may_be_shared(known.value, digests) == shared).tolist():
+                    if first(digests[i]) if shared else new[doc[i]]:
+                        out.append((keys[doc[i]], i - int(firsts[i]), digests[i], press.compress(whole[starts[i] : ends[i]])))
+                columns = zip(*out, strict=True) if out else ([], [], [], [])
+                types = (pa.binary(), pa.int32(), pa.binary(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["key", "nth", "digest", "bytes"])
 
-    return docs.select(F.col(text_col).alias("text")).mapInArrow(run, "digest binary, bytes binary").dropDuplicates(["digest"])
+    return docs.select(F.col(text_col).alias("text")).mapInArrow(run, SPREAD + ", bytes binary")
 
 
 def _features(samples: np.ndarray, n_chunks: int) -> str:
@@ -107,19 +171,17 @@ def _features(samples: np.ndarray, n_chunks: int) -> str:
     return f"{n_chunks}:{samples.mean():.4f}:{samples.std():.4f}:{-(spread * np.log2(spread)).sum():.4f}:" + ",".join(f"{x:.3f}" for x in share)
 
 
-def read_back(entries: DataFrame, store: DataFrame) -> DataFrame:
-    """Of each distinct ``key`` with its ``list``: digests and features of the payload put together from ``store``."""
+def read_back(entries: DataFrame, own: DataFrame, store: DataFrame, filter_: np.ndarray) -> DataFrame:
+    """Of each distinct ``key`` with its ``list``: digests and features of the payload put together from its chunks.
+
+    ``own``: rows of the chunks that one payload alone has; ``store``: (digest, bytes) of all others.
+    """
+    known = entries.sparkSession.sparkContext.broadcast(filter_)
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys, nth, digests, sizes = [], [], [], []
-            for key, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for i, (size, digest) in enumerate(struct.iter_unpack(ENTRY, packed)):
-                    keys.append(key)
-                    nth.append(i)
-                    digests.append(digest)
-                    sizes.append(size)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(nth, pa.int32()), pa.array(digests, pa.binary()), pa.array(sizes, pa.int32())], ["key", "nth", "digest", "size"])
+        for batch in _spread(batches):
+            if len(batch):
+                yield batch.filter(pa.array(_may_be_shared(known.value, batch.column(2).to_pylist())))
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         expand, digest_of = zstandard.ZstdDecompressor(), xxhash.xxh3_128_digest
@@ -142,6 +204,8 @@ def read_back(entries: DataFrame, store: DataFrame) -> DataFrame:
                     if now is not None:
                         out.append(result(now, entries, parts))
                     now, entries, parts = key, [], []
+                if nth == len(parts) - 1 and entries[-1][4:] == digest:  # an equal payload's chunk, sent by another task
+                    continue
                 part = expand.decompress(packed)
                 if digest_of(part) != digest or nth != len(parts):
                     raise ValueError("a chunk differs from its digest or is missing")
@@ -153,13 +217,16 @@ def read_back(entries: DataFrame, store: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_pylist([dict(zip(names, result(now, entries, parts), strict=True))], schema)
 
     schema = pa.schema([("key", pa.binary()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())])
-    needed = entries.select("key", "list").mapInArrow(spread, "key binary, nth int, digest binary, size int")
-    whole = needed.join(store, "digest").select("key", "nth", "digest", "bytes")
+    needed = entries.select("key", "list").mapInArrow(spread, SPREAD)
+    whole = needed.join(store, "digest").select("key", "nth", "digest", "bytes").union(own)
     return whole.repartition("key").sortWithinPartitions("key", "nth").mapInArrow(build, "key binary, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
 
 def media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature) of each row."""
     rows = materialize(lists(docs, id_col, text_col), "lists")
-    made = read_back(rows.select("key", "list").dropDuplicates(["key"]), chunk_store(docs, text_col))
+    entries = rows.select("key", "list").dropDuplicates(["key"])
+    filter_ = shared_filter(entries)
+    store = chunk_rows(docs, filter_, True, text_col).select("digest", "bytes").dropDuplicates(["digest"])
+    made = read_back(entries, chunk_rows(docs, filter_, False, text_col), store, filter_)
     return rows.select(F.col("id").alias(id_col), "n_bytes", "key").join(made, "key").drop("key")
