@@ -33,6 +33,8 @@ from tessera.llm.text import codepoints, slices
 from tessera.operators.storage import materialize
 
 ORDERS = (3, 4, 5, 6)
+#: Bytes of text whose features are held at once.
+SLICE = 1 << 20
 #: Bits of the hash table of each order.
 BITS = 20
 #: Labelled texts of each class to learn from at most.
@@ -127,7 +129,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p, q = np.zeros(len(ORDERS) << BITS, np.int32), np.zeros(len(ORDERS) << BITS, np.int32)
         for batch in batches:
-            for rows, texts in slices(batch, "text"):
+            for rows, texts in slices(batch, "text", SLICE):
                 doc, feature = present(texts)
                 y = rows.column(1).to_numpy()[doc]
                 p += np.bincount(feature[y == 1], minlength=len(p)).astype(np.int32)
@@ -150,7 +152,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows, texts in slices(batch, "text"):
+            for rows, texts in slices(batch, "text", SLICE):
                 doc, feature = present(texts, code)
                 lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(doc, np.arange(len(texts) + 1)), pa.int32()), pa.array(feature, pa.int32()))
                 yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), lists], ["id", "y", "features"])
@@ -172,7 +174,7 @@ def with_score(docs: DataFrame, model: Model, score_col: str = "score", text_col
         scorer = Model(*shared.value)
         for values in batches:
             batch = pa.RecordBatch.from_arrays([pa.array(values, pa.string(), from_pandas=True)], ["text"])
-            yield pd.Series(np.concatenate([scorer.scores(texts) for _, texts in slices(batch, "text")] or [np.zeros(0)]))
+            yield pd.Series(np.concatenate([scorer.scores(texts) for _, texts in slices(batch, "text", SLICE)] or [np.zeros(0)]))
 
     return docs.withColumn(score_col, scored(F.col(text_col)))
 
