@@ -1,0 +1,169 @@
+"""Near-duplicates by the exact similarity of their word shingles, found with MinHash bands.
+
+Texts are linked where the Jaccard similarity of their sets of shingles is ``least`` or more;
+components of links are groups of near-duplicates.
+
+Search: ``BANDS`` bands of ``ROWS`` minima each. Two sets of similarity s agree in a band with
+probability s**ROWS, so a pair at 0.8 shares a bucket with probability 1 - (1 - 0.8**5)**20 = 0.9996, a closer
+one with more. Members of a bucket are compared by their whole sets until each is
+connected or differs from all others; none is left out. Large buckets are cut into parts, and
+every part meets every part, in units of bounded size. Buckets with the same members are compared once.
+
+A unit reports a spanning forest of its links, so a group of n copies costs n rows. Equal sets are one node.
+
+Edge cases: null and empty texts have equal, empty sets; fewer than ``size`` words make one
+shingle; repeated rows keep their rows; a null id gets the least id of its group; an
+empty table gives no rows. Only the id and the text column are read.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tessera.llm.simhash_bk import shingle_hashes
+from tessera.llm.text import Words, slices
+from tessera.operators.components import connected_components
+from tessera.operators.storage import materialize
+
+#: Words of a shingle, and similarity of a link at least.
+SIZE, LEAST = 5, 0.8
+BANDS, ROWS = 20, 5
+#: Texts and shingles of a part of a bucket, on average at most.
+PART_ROWS, PART_SHINGLES = 4096, 1 << 20
+#: Shingles whose minima are taken at once.
+STEP = 1 << 14
+
+_RNG = np.random.default_rng(2024)
+_XOR = _RNG.integers(0, 1 << 64, BANDS * ROWS, np.uint64)
+_ODD = _RNG.integers(0, 1 << 64, BANDS * ROWS, np.uint64) | np.uint64(1)
+
+
+def shingle_sets(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct shingle hashes of each text, ascending, and the first of each text with their number."""
+    hashes, firsts = shingle_hashes(Words(texts), size)
+    doc = np.repeat(np.arange(len(texts)), np.diff(firsts))
+    order = np.lexsort((hashes, doc))
+    hashes, doc = hashes[order], doc[order]
+    new = np.ones(len(hashes), bool)
+    new[1:] = (hashes[1:] != hashes[:-1]) | (doc[1:] != doc[:-1])
+    return hashes[new], np.searchsorted(doc[new], np.arange(len(texts) + 1))
+
+
+def minima(hashes: np.ndarray, firsts: np.ndarray) -> np.ndarray:
+    """One row of minima for each text; those of empty sets are the greatest number."""
+    n = len(firsts) - 1
+    out = np.full((n, BANDS * ROWS), np.iinfo(np.uint64).max, np.uint64)
+    some = np.flatnonzero(np.diff(firsts))
+    heads = firsts[:-1][some]
+    for at in range(0, len(hashes), STEP):
+        to = min(len(hashes), at + STEP)
+        lo, hi = np.searchsorted(heads, at, side="right") - 1, np.searchsorted(heads, to, side="left")
+        cuts, rows, part = np.maximum(heads[lo:hi], at) - at, some[lo:hi], hashes[at:to]
+        for k in range(BANDS * ROWS):
+            least = np.minimum.reduceat((part ^ _XOR[k]) * _ODD[k], cuts)
+            out[rows, k] = np.minimum(out[rows, k], least)
+    return out
+
+
+def sketches(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
+    """(id, tie, key, n, buckets) of each row; tie: digest of the text, key: digest of its set, n: shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest = xxhash.xxh3_64_intdigest
+        for batch in batches:
+            for rows, texts in slices(batch, "text"):
+                hashes, firsts = shingle_sets(texts, size)
+                bounds = firsts.tolist()
+                keys = np.fromiter((digest(hashes[a:b].tobytes()) for a, b in zip(bounds, bounds[1:], strict=False)), np.uint64, len(texts))
+                bands = minima(hashes, firsts).reshape(len(texts), BANDS, ROWS)
+                buckets = np.fromiter((digest(bands[i, k].tobytes(), k) for i in range(len(texts)) for k in range(BANDS)), np.uint64, len(texts) * BANDS)
+                offsets = pa.array(np.arange(len(texts) + 1) * BANDS, pa.int32())
+                lists = pa.ListArray.from_arrays(offsets, pa.array(buckets.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(2), pa.array(keys.view(np.int64)), pa.array(np.diff(firsts)), lists], ["id", "tie", "key", "n", "buckets"])
+
+    kept = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), _tie(text_col).alias("tie"))
+    return kept.mapInArrow(run, f"id {kept.schema['id'].dataType.simpleString()}, tie binary, key long, n long, buckets array<long>")
+
+
+def _tie(text_col: str):
+    return F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit(""))))
+
+
+def _units(values: DataFrame, part_rows: int) -> DataFrame:
+    """(bucket, i, j, role, key): part i meets part j; role 0 is met, 1 meets, 2 does both."""
+    keyed = values.select("key", "n", F.explode("buckets").alias("bucket"))
+    members = [F.count(F.lit(1)).alias("c"), F.sum("n").alias("s"), F.bit_xor("key").alias("x"), F.bit_xor(F.xxhash64("key")).alias("y")]
+    shared = keyed.groupBy("bucket").agg(*members).where("c > 1").groupBy("c", "s", "x", "y").agg(F.min("bucket").alias("bucket"))
+    parts = F.greatest(F.ceil(F.col("c") / part_rows), F.ceil(F.col("s") / PART_SHINGLES)).cast("int")
+    keyed = keyed.join(shared.select("bucket", parts.alias("parts")), "bucket").withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
+    as_met = F.transform(F.sequence(F.col("part"), F.col("parts") - 1), lambda j: F.struct(F.col("part").alias("i"), j.alias("j"), F.when(j == F.col("part"), 2).otherwise(0).alias("role")))
+    as_meeting = F.transform(F.sequence(F.lit(0), F.col("part") - 1), lambda i: F.struct(i.alias("i"), F.col("part").alias("j"), F.lit(1).alias("role")))
+    roles = F.when(F.col("part") > 0, F.concat(as_met, as_meeting)).otherwise(as_met)
+    return keyed.select("bucket", "key", F.explode(roles).alias("r")).select("bucket", "r.i", "r.j", "r.role", "key")
+
+
+def alike(a: np.ndarray, b: np.ndarray, least: float) -> bool:
+    """Whether two ascending arrays without repeats have the Jaccard similarity ``least``."""
+    small, large = sorted((len(a), len(b)))
+    if small < least * large:
+        return False
+    both = np.sort(np.concatenate((a, b)), kind="stable")
+    common = int((both[1:] == both[:-1]).sum())
+    return common >= least * (small + large - common)
+
+
+def links(units: DataFrame, size: int, least: float) -> DataFrame:
+    """(a, b): enough pairs of alike sets to connect all that a unit links."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unit, groups = None, []
+        for batch in batches:
+            left, right = [], []
+            for rows, texts in slices(batch, "text"):
+                hashes, firsts = shingle_sets(texts, size)
+                columns = [rows.column(k).to_pylist() for k in range(5)]
+                for at, (*here, role, key) in enumerate(zip(*columns, strict=True)):
+                    if here != unit:
+                        unit, groups = here, []
+                    mine = hashes[firsts[at] : firsts[at + 1]].copy()
+                    joined, others = [], []
+                    for group in groups if role else []:
+                        other = next((k for k, x in group if alike(mine, x, least)), None)
+                        if other is None:
+                            others.append(group)
+                        else:
+                            joined += group
+                            left.append(key)
+                            right.append(other)
+                    if role:
+                        groups = [*others, joined] if joined else others
+                    if role != 1:
+                        if joined:
+                            joined.append((key, mine))
+                        else:
+                            groups.append([(key, mine)])
+            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
+
+    unit = ["bucket", "i", "j"]
+    return units.repartition(*unit).sortWithinPartitions(*unit, "role", "key").select(*unit, "role", "key", "text").mapInArrow(run, "a long, b long")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, least: float = LEAST, part_rows: int = PART_ROWS) -> DataFrame:
+    """(id_col, component_id) of every row; component_id: the least id reachable by links."""
+    marked = materialize(sketches(docs, id_col, text_col, size), "sketches")
+    values = marked.groupBy("key").agg(F.min("id").alias("least"), F.min("tie").alias("tie"), F.first("n").alias("n"), F.first("buckets").alias("buckets"))
+    values = materialize(values, "values")
+    units = materialize(_units(values, part_rows), "units")
+    wanted = units.select("key").distinct().join(values.select("key", "tie"), "key")
+    texts = docs.select(_tie(text_col).alias("tie"), F.col(text_col).alias("text")).join(wanted, "tie").dropDuplicates(["tie"]).select("key", "text")
+    graph = connected_components(links(units.join(texts, "key"), size, least)).withColumnRenamed("node", "key")
+    graph = materialize(values.join(graph, "key", "left").select("key", "least", F.coalesce("component", "key").alias("component")), "graph")
+    lowest = graph.groupBy("component").agg(F.min("least").alias("component_id"))
+    named = graph.join(lowest, "component").select("key", "component_id")
+    return marked.join(named, "key").select(F.col("id").alias(id_col), "component_id")
