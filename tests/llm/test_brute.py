@@ -56,19 +56,6 @@ def test_base_scores(docs, rows):
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
 
 
-def test_emissions_and_transitions_sum_to_one():
-    rng = np.random.default_rng(1)
-    m = brown_lm.Model([], np.zeros(1), None, np.array([50.0, 30.0]), np.array([5.0, 4.0]), 0.4, 80, 9)
-    counts, classes = np.array([20, 15, 8, 4, 3, 10, 9, 8, 3]), np.array([0] * 5 + [1] * 4)
-    p = 10 ** m.emission(counts, classes)
-    unseen = 10 ** m.emission(np.zeros(2), np.array([0, 1]))
-    assert p[classes == 0].sum() + unseen[0] == pytest.approx(1) and p[classes == 1].sum() + unseen[1] == pytest.approx(1)
-    table = rng.integers(0, 9, (4, 4)).astype(float)
-    share = np.full(4, 0.25)
-    t = (table + 64 * share) / (table.sum(1, keepdims=True) + 64)
-    assert t.sum(1) == pytest.approx(np.ones(4))
-
-
 def likelihood(bigrams, member, k):
     onto = np.eye(k)[member]
     t = onto.T @ bigrams @ onto
