@@ -135,24 +135,27 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _units(values: DataFrame, masks: list[int], shard_rows: int) -> DataFrame:
-    """(mask, shard, i, j, role, fp): tree i meets queries j; role 0 builds, 1 asks, 2 does both."""
-    keyed = values.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(_signed(m))) for m in masks])).alias("mask", "shard"))
+def _units(values: DataFrame, shards: list[Column], shard_rows: int) -> DataFrame:
+    """(mask, shard, i, j, role, fp, ...): tree i meets queries j; role 0 builds, 1 asks, 2 does both."""
+    kept = values.columns
+    keyed = values.select(*kept, F.posexplode(F.array(*shards)).alias("mask", "shard"))
     large = keyed.groupBy("mask", "shard").count().where(F.col("count") > shard_rows).select("mask", "shard", F.ceil(F.col("count") / shard_rows).cast("int").alias("parts"))
     keyed = keyed.join(large, ["mask", "shard"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    part: Column = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
+    part: Column = F.pmod(F.xxhash64(F.col(kept[-1])), F.col("parts")).cast("int")
     as_tree = F.transform(F.sequence(F.col("part"), F.col("parts") - 1), lambda j: F.struct(F.col("part").alias("i"), j.alias("j"), F.when(j == F.col("part"), 2).otherwise(0).alias("role")))
     as_query = F.transform(F.sequence(F.lit(0), F.col("part") - 1), lambda i: F.struct(i.alias("i"), F.col("part").alias("j"), F.lit(1).alias("role")))
     roles = F.when(F.col("part") > 0, F.concat(as_tree, as_query)).otherwise(as_tree)
-    return keyed.withColumn("part", part).select("mask", "shard", "fp", F.explode(roles).alias("r")).select("mask", "shard", "r.i", "r.j", "r.role", "fp")
+    return keyed.withColumn("part", part).select("mask", "shard", *kept, F.explode(roles).alias("r")).select("mask", "shard", "r.i", "r.j", "r.role", *kept)
 
 
-def links(values: DataFrame, radius: int = 4, shard_rows: int = SHARD_ROWS, n: int | None = None) -> DataFrame:
-    """(a, b): enough pairs of distinct ``fp`` within ``radius`` bits to connect all that are linked."""
-    n = values.count() if n is None else n
+def tree_links(units: DataFrame, radius: int) -> DataFrame:
+    """(a, b): enough pairs of nodes within ``radius`` bits of each other to connect all that a unit links.
+
+    A unit's rows end in a fingerprint and, where that does not name the node, in its key.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unit, tree, parent = None, BKTree(), {}
+        unit, tree, parent, name = None, BKTree(), {}, {}
 
         def root(x: int) -> int:
             while (up := parent.get(x, x)) != x:
@@ -162,25 +165,36 @@ def links(values: DataFrame, radius: int = 4, shard_rows: int = SHARD_ROWS, n: i
         for batch in batches:
             left, right = [], []
             columns = [c.to_pylist() for c in batch.columns]
-            for *key, role, fp in zip(*columns, strict=True):
-                if key != unit:
-                    unit, tree, parent = key, BKTree(), {}
-                value = fp & 0xFFFFFFFFFFFFFFFF
+            for mask, shard, i, j, role, fp, *key in zip(*columns, strict=True):
+                if (mask, shard, i, j) != unit:
+                    unit, tree, parent, name = (mask, shard, i, j), BKTree(), {}, {}
+                value, node = fp & 0xFFFFFFFFFFFFFFFF, key[0] if key else fp
                 if role:
                     for other in tree.near(value, radius):
-                        if (r := root(other)) != (mine := root(value)):
+                        if (r := root(name[other])) != (mine := root(node)):
                             parent[r] = mine
-                            left.append(fp)
-                            right.append(_signed(other))
+                            left.append(node)
+                            right.append(name[other])
                 if role != 1:
-                    tree.add(value)
+                    if (twin := name.setdefault(value, node)) == node:
+                        tree.add(value)
+                    elif (r := root(twin)) != (mine := root(node)):  # another node with the same fingerprint
+                        parent[r] = mine
+                        left.append(node)
+                        right.append(twin)
             yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
 
     unit = ["mask", "shard", "i", "j"]
-    units = _units(values, block_masks(n, radius, shard_rows), shard_rows)
     return units.repartition(*unit).sortWithinPartitions(*unit, "role", "fp").mapInArrow(run, "a long, b long")
 
 
+def links(values: DataFrame, radius: int = 4, shard_rows: int = SHARD_ROWS, n: int | None = None) -> DataFrame:
+    """(a, b): enough pairs of distinct ``fp`` within ``radius`` bits to connect all that are linked."""
+    n = values.count() if n is None else n
+    shards = [F.col("fp").bitwiseAND(F.lit(_signed(m))) for m in block_masks(n, radius, shard_rows)]
+    return tree_links(_units(values.select("fp"), shards, shard_rows), radius)
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4, radius: int = 4, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """(id_col, fingerprint, component_id) of every row; component_id: the least id reachable by links."""
     marked = materialize(fingerprints(docs, id_col, text_col, size), "fingerprints")

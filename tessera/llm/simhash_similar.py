@@ -1,15 +1,18 @@
-"""Near-duplicates by the exact similarity of their word shingles, found with MinHash bands.
+"""Near-duplicates by SimHash whose links are verified by the exact similarity of their shingle sets.
 
-Texts are linked where the Jaccard similarity of their sets of shingles is ``least`` or more;
-components of links are groups of near-duplicates.
+Texts are linked where the Jaccard similarity of their sets of word shingles is ``least`` or more; components of links are
+groups of near-duplicates. At a similarity of 0.8 SimHashes differ in about 10 of 64 bits, too many for the exact
+search by agreeing blocks, so shards are sampled: each table takes some bits of one of three further SimHash words as its shard
+key, and in a shard the BK-tree of the first word is searched with a radius of 18 bits. The bits of a key follow the number
+of texts, so that a shard holds about ``FILL`` of them, and the tables follow the bits, so that a pair at ``least`` is found with a probability
+of ``RECALL`` (``tables_for``), a closer one with more: 0.99 from 0.85 on.
 
-Search: ``BANDS`` bands of ``ROWS`` minima each. Two sets of similarity s agree in a band with
-probability s**ROWS, so a pair at 0.8 shares a bucket with probability 1 - (1 - 0.8**5)**20 = 0.9996, a closer
-one with more. Members of a bucket are compared by their whole sets until each is
-connected or differs from all others; none is left out. Large buckets are cut into parts, and
-every part meets every part, in units of bounded size. Buckets with the same members are compared once.
+Candidates only name clusters: members of one are compared by their whole sets until each is
+connected or differs from all others; none is left out. Large clusters are cut into parts, and
+every part meets every part, in units of bounded size. A unit reports a spanning forest of its links, so a group of n copies
+costs n rows. Equal sets are one node.
 
-A unit reports a spanning forest of its links, so a group of n copies costs n rows. Equal sets are one node.
+The tables grow with the number of texts, about as n to the power of 0.24: 54 for 2 * 10^5 texts, some hundred for 10^7.
 
 Edge cases: null and empty texts have equal, empty sets; fewer than ``size`` words make one
 shingle; repeated rows keep their rows; a null id gets the least id of its group; an
@@ -19,6 +22,8 @@ empty table gives no rows. Only the id and the text column are read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
+from math import acos, comb, log2, pi
 
 import numpy as np
 import pyarrow as pa
@@ -26,22 +31,44 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.simhash_bk import shingle_hashes
+from tessera.llm.simhash_bk import SHARD_ROWS, _signed, _units, majority, shingle_hashes, tree_links
 from tessera.llm.text import Words, slices
 from tessera.operators.components import connected_components
 from tessera.operators.storage import materialize
 
 #: Words of a shingle, and similarity of a link at least.
 SIZE, LEAST = 5, 0.8
-BANDS, ROWS = 20, 5
-#: Texts and shingles of a part of a bucket, on average at most.
+#: Bits between the SimHashes of candidates at most, texts of a shard on average, and share of the pairs at ``LEAST`` to find.
+RADIUS, FILL, RECALL = 18, 32, 0.98
+#: SimHash words that shard keys are taken from.
+WORDS = 3
+#: Texts and shingles of a part of a cluster, on average at most.
 PART_ROWS, PART_SHINGLES = 4096, 1 << 20
-#: Shingles whose minima are taken at once.
-STEP = 1 << 14
 
-_RNG = np.random.default_rng(2024)
-_XOR = _RNG.integers(0, 1 << 64, BANDS * ROWS, np.uint64)
-_ODD = _RNG.integers(0, 1 << 64, BANDS * ROWS, np.uint64) | np.uint64(1)
+_MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
+
+
+def expected_recall(bits: int, tables: int, least: float) -> float:
+    """Probability that two sets of this similarity and of one size share a shard and are within the radius."""
+    differ = acos(2 * least / (1 + least)) / pi
+    of_bits = [comb(64, d) * differ**d * (1 - differ) ** (64 - d) for d in range(65)]
+    agree = [comb(64 - d, bits) / comb(64, bits) for d in range(65)]
+    miss = 1.0
+    for w in range(WORDS):
+        n = tables // WORDS + (w < tables % WORDS)
+        miss *= sum(p * (1 - a) ** n for p, a in zip(of_bits, agree, strict=True))
+    return (1 - miss) * sum(of_bits[: RADIUS + 1])
+
+
+@cache
+def tables_for(n: int, least: float = LEAST) -> list[tuple[int, int]]:
+    """(word, bit mask) of each table for ``n`` texts."""
+    bits = max(6, min(40, round(log2(max(n, 1) / FILL)))) if n > FILL else 6
+    tables = WORDS
+    while expected_recall(bits, tables, least) < RECALL and tables < 3000:
+        tables += WORDS
+    rng = np.random.default_rng(bits)
+    return [(t % WORDS, sum(1 << int(b) for b in rng.choice(64, bits, replace=False))) for t in range(tables)]
 
 
 def shingle_sets(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -55,24 +82,17 @@ def shingle_sets(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
     return hashes[new], np.searchsorted(doc[new], np.arange(len(texts) + 1))
 
 
-def minima(hashes: np.ndarray, firsts: np.ndarray) -> np.ndarray:
-    """One row of minima for each text; those of empty sets are the greatest number."""
-    n = len(firsts) - 1
-    out = np.full((n, BANDS * ROWS), np.iinfo(np.uint64).max, np.uint64)
-    some = np.flatnonzero(np.diff(firsts))
-    heads = firsts[:-1][some]
-    for at in range(0, len(hashes), STEP):
-        to = min(len(hashes), at + STEP)
-        lo, hi = np.searchsorted(heads, at, side="right") - 1, np.searchsorted(heads, to, side="left")
-        cuts, rows, part = np.maximum(heads[lo:hi], at) - at, some[lo:hi], hashes[at:to]
-        for k in range(BANDS * ROWS):
-            least = np.minimum.reduceat((part ^ _XOR[k]) * _ODD[k], cuts)
-            out[rows, k] = np.minimum(out[rows, k], least)
-    return out
+def words_of_bits(hashes: np.ndarray, firsts: np.ndarray) -> list[np.ndarray]:
+    """The SimHash of each set, and as many further ones from mixed hashes."""
+    mixed = [hashes]
+    for odd in _MIX:
+        h = (hashes ^ (hashes >> np.uint64(31))) * odd
+        mixed.append((h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9))
+    return [majority(h, firsts) for h in mixed]
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
-    """(id, tie, key, n, buckets) of each row; tie: digest of the text, key: digest of its set, n: shingles."""
+    """(id, tie, key, n, fp, w0, w1, w2) of each row; tie: digest of the text, key: digest of its set, n: shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh3_64_intdigest
@@ -81,27 +101,29 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFram
                 hashes, firsts = shingle_sets(texts, size)
                 bounds = firsts.tolist()
                 keys = np.fromiter((digest(hashes[a:b].tobytes()) for a, b in zip(bounds, bounds[1:], strict=False)), np.uint64, len(texts))
-                bands = minima(hashes, firsts).reshape(len(texts), BANDS, ROWS)
-                buckets = np.fromiter((digest(bands[i, k].tobytes(), k) for i in range(len(texts)) for k in range(BANDS)), np.uint64, len(texts) * BANDS)
-                offsets = pa.array(np.arange(len(texts) + 1) * BANDS, pa.int32())
-                lists = pa.ListArray.from_arrays(offsets, pa.array(buckets.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(2), pa.array(keys.view(np.int64)), pa.array(np.diff(firsts)), lists], ["id", "tie", "key", "n", "buckets"])
+                words = [pa.array(w.view(np.int64)) for w in words_of_bits(hashes, firsts)]
+                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(2), pa.array(keys.view(np.int64)), pa.array(np.diff(firsts)), *words], ["id", "tie", "key", "n", "fp", "w0", "w1", "w2"])
 
     kept = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), _tie(text_col).alias("tie"))
-    return kept.mapInArrow(run, f"id {kept.schema['id'].dataType.simpleString()}, tie binary, key long, n long, buckets array<long>")
+    return kept.mapInArrow(run, f"id {kept.schema['id'].dataType.simpleString()}, tie binary, key long, n long, fp long, w0 long, w1 long, w2 long")
 
 
 def _tie(text_col: str):
     return F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit(""))))
 
 
-def _units(values: DataFrame, part_rows: int) -> DataFrame:
+def clusters(values: DataFrame, least: float) -> DataFrame:
+    """(key, cluster) of the sets that have a candidate."""
+    shards = [F.col(f"w{w}").bitwiseAND(F.lit(_signed(mask))) for w, mask in tables_for(values.count(), least)]
+    units = _units(values.select("w0", "w1", "w2", "fp", "key"), shards, SHARD_ROWS).drop("w0", "w1", "w2")
+    return connected_components(tree_links(units, RADIUS)).select(F.col("node").alias("key"), F.col("component").alias("bucket"))
+
+
+def _met(members: DataFrame, part_rows: int) -> DataFrame:
     """(bucket, i, j, role, key): part i meets part j; role 0 is met, 1 meets, 2 does both."""
-    keyed = values.select("key", "n", F.explode("buckets").alias("bucket"))
-    members = [F.count(F.lit(1)).alias("c"), F.sum("n").alias("s"), F.bit_xor("key").alias("x"), F.bit_xor(F.xxhash64("key")).alias("y")]
-    shared = keyed.groupBy("bucket").agg(*members).where("c > 1").groupBy("c", "s", "x", "y").agg(F.min("bucket").alias("bucket"))
+    sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("s"))
     parts = F.greatest(F.ceil(F.col("c") / part_rows), F.ceil(F.col("s") / PART_SHINGLES)).cast("int")
-    keyed = keyed.join(shared.select("bucket", parts.alias("parts")), "bucket").withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
+    keyed = members.join(sizes.select("bucket", parts.alias("parts")), "bucket").withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
     as_met = F.transform(F.sequence(F.col("part"), F.col("parts") - 1), lambda j: F.struct(F.col("part").alias("i"), j.alias("j"), F.when(j == F.col("part"), 2).otherwise(0).alias("role")))
     as_meeting = F.transform(F.sequence(F.lit(0), F.col("part") - 1), lambda i: F.struct(i.alias("i"), F.col("part").alias("j"), F.lit(1).alias("role")))
     roles = F.when(F.col("part") > 0, F.concat(as_met, as_meeting)).otherwise(as_met)
@@ -157,9 +179,10 @@ def links(units: DataFrame, size: int, least: float) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, least: float = LEAST, part_rows: int = PART_ROWS) -> DataFrame:
     """(id_col, component_id) of every row; component_id: the least id reachable by links."""
     marked = materialize(sketches(docs, id_col, text_col, size), "sketches")
-    values = marked.groupBy("key").agg(F.min("id").alias("least"), F.min("tie").alias("tie"), F.first("n").alias("n"), F.first("buckets").alias("buckets"))
+    values = marked.groupBy("key").agg(F.min("id").alias("least"), F.min("tie").alias("tie"), *[F.first(c).alias(c) for c in ("n", "fp", "w0", "w1", "w2")])
     values = materialize(values, "values")
-    units = materialize(_units(values, part_rows), "units")
+    members = values.select("key", "n").join(clusters(values, least), "key")
+    units = materialize(_met(members, part_rows), "units")
     wanted = units.select("key").distinct().join(values.select("key", "tie"), "key")
     texts = docs.select(_tie(text_col).alias("tie"), F.col(text_col).alias("text")).join(wanted, "tie").dropDuplicates(["tie"]).select("key", "text")
     graph = connected_components(links(units.join(texts, "key"), size, least)).withColumnRenamed("node", "key")

@@ -6,7 +6,8 @@ import pytest
 
 import corpus_pipeline as P
 from tests.llm.conftest import prose
-from tests.llm.test_brute import duck, fingerprint, groups
+from tests.llm.test_brute import duck
+from tests.llm.test_simhash_similar import least_of_groups
 
 
 @pytest.fixture(scope="module")
@@ -50,7 +51,7 @@ def test_lines(kept):
 
 
 def test_one_document_of_each_group_stays(kept):
-    want = groups({r["doc_id"]: fingerprint(r["text"]) for r in kept[2]}, 4)
+    want = least_of_groups([(r["doc_id"], r["text"]) for r in kept[2]])
     assert {r["doc_id"] for r in kept[3]} == set(want.values())
 
 
