@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import line_winnow, mixing, near_jaccard, packing, toxicity
+from tessera.llm import line_winnow, mixing, simhash_similar, packing, toxicity
 from tessera.llm.queries import vocabulary
 from tessera.operators.storage import shared_dir
 
@@ -36,7 +36,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the least id of each group of texts whose five-word shingles are alike to 0.8 or more; rows without an id stay."""
-    groups = near_jaccard.near_duplicates(docs)
+    groups = simhash_similar.near_duplicates(docs)
     copies = groups.where("doc_id <> component_id").select("doc_id")
     return docs.join(copies, "doc_id", "left_anti").select(docs.columns)
 
