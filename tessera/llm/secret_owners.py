@@ -1,14 +1,19 @@
 """Secrets in texts, judged by how many owners share them.
 
 Candidates are assignments to telling names, access-key ids, hexadecimal runs and, beyond
-these, long mixed tokens. Their values' hashes are counted over distinct repositories and
-owners of the whole corpus: a value that many owners have is a copied
-example, a value of one owner looks like a live credential. Long mixed tokens are reported
-only when they look live; candidates of the three base kinds always are, with
+these, long mixed tokens. Their values' hashes are counted over distinct owners and
+repositories of the whole corpus. A value looks live if at most ``MOST_OWNERS`` owners and at most ``MOST_REPOS``
+repositories have it; one that more owners have, or that one owner has pasted into many repositories, is a copied example. Long
+mixed tokens are reported only when they look live; candidates of the three base kinds always are, with
 the number of those that look live beside them.
 
+An owner is a value of ``owner_col``. A repository is a value of ``repo_col`` or, without such a column, a distinct text of an
+owner: copies of a document are one repository, however many there are.
+
+Values that very many candidates have, of which there are ``HOT_VALUES`` at most by arithmetic, are broadcast with their judgement; all others are joined by a shuffle.
+
 Edge cases: null and empty texts have no span; a null owner or repository
-counts as one of its own; repeated rows are reported each, and add no owner; an empty table
+counts as one of its own; repeated rows are reported each, and add no owner and no repository; an empty table
 gives no rows. Only the named columns are read.
 """
 
@@ -31,8 +36,10 @@ from tessera.operators.storage import materialize
 
 #: Kinds in the order in which spans that begin together are listed.
 KINDS = ("assign", "access", "hex", "owned")
-#: Owners that a live-looking value has at most.
-MOST_OWNERS = 1
+#: Owners and repositories that a live-looking value has at most.
+MOST_OWNERS, MOST_REPOS = 1, 3
+#: Values that are broadcast at most: those of more than this part of all candidates.
+HOT_VALUES = 10_000
 #: Bits a character of a long mixed token has at least.
 LEAST_ENTROPY = 3.5
 
@@ -71,7 +78,7 @@ def _joined(spans: list[tuple[int, int, int, str]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b, _ in spans)
 
 
-def candidates(docs: DataFrame, id_col: str, text_col: str, owner_col: str, repo_col: str) -> DataFrame:
+def candidates(docs: DataFrame, id_col: str, text_col: str, owner_col: str, repo_col: str | None) -> DataFrame:
     """One row for each document, with counts and digest of its base spans and all candidates."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,7 +102,7 @@ def candidates(docs: DataFrame, id_col: str, text_col: str, owner_col: str, repo
                     ["id", "owner", "repo", "n_assign", "n_access", "n_hex", "base_sha256", "found"],
                 )
 
-    kept = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(owner_col).cast("string").alias("owner"), F.col(repo_col).cast("string").alias("repo"))
+    kept = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(owner_col).cast("string").alias("owner"), (F.col(repo_col).cast("string") if repo_col else F.md5(F.coalesce(F.col(text_col), F.lit("")))).alias("repo"))
     return kept.mapInArrow(
         run,
         f"id {kept.schema['id'].dataType.simpleString()}, owner string, repo string, n_assign long, n_access long, n_hex long, base_sha256 string, found array<struct<start:long,kind:int,end:long,value:string>>",
@@ -103,18 +110,25 @@ def candidates(docs: DataFrame, id_col: str, text_col: str, owner_col: str, repo
 
 
 def ownership(found: DataFrame) -> DataFrame:
-    """(value, owners, repos) of each candidate's hash."""
+    """(value, owners, repos, n) of each candidate's hash; n: its occurrences."""
     seen = found.select(F.explode("found.value").alias("value"), F.coalesce("owner", F.lit("\0")).alias("owner"), F.coalesce("repo", F.lit("\0")).alias("repo"))
-    pairs = seen.distinct()
-    return pairs.groupBy("value", "owner").agg(F.count(F.lit(1)).alias("n")).groupBy("value").agg(F.count(F.lit(1)).alias("owners"), F.sum("n").alias("repos"))
+    each = seen.groupBy("value", "owner", "repo").agg(F.count(F.lit(1)).alias("n"))
+    by_owner = each.groupBy("value", "owner").agg(F.count(F.lit(1)).alias("repos"), F.sum("n").alias("n"))
+    return by_owner.groupBy("value").agg(F.count(F.lit(1)).alias("owners"), F.sum("repos").alias("repos"), F.sum("n").alias("n"))
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str = "source", most_owners: int = MOST_OWNERS) -> DataFrame:
+def scan(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str | None = None, most_owners: int = MOST_OWNERS, most_repos: int = MOST_REPOS
+) -> DataFrame:
     """(id_col, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_copied) of each row."""
     found = materialize(candidates(docs, id_col, text_col, owner_col, repo_col).withColumn("row", F.monotonically_increasing_id()), "candidates")
-    each = found.where(F.size("found") > 0).select("row", F.explode("found").alias("s"))
-    judged = each.join(ownership(found), F.col("s.value") == F.col("value")).withColumn("live", F.col("owners") <= most_owners)
-    kept = judged.where("live or s.kind < 3")
+    live = (F.col("owners") <= most_owners) & (F.col("repos") <= most_repos)
+    judged = materialize(ownership(found).withColumn("live", live), "owners")
+    limit = (judged.agg(F.sum("n")).first()[0] or 0) / HOT_VALUES
+    hot, cold = F.broadcast(judged.where(F.col("n") > limit).select("value", "live")), judged.where(F.col("n") <= limit).select("value", "live")
+    each = found.where(F.size("found") > 0).select("row", F.explode("found").alias("s")).withColumn("value", F.col("s.value"))
+    told = each.join(hot, "value").unionByName(each.join(hot, "value", "left_anti").join(cold, "value"))
+    kept = told.where("live or s.kind < 3")
     name = F.element_at(F.array(*map(F.lit, KINDS)), F.col("s.kind") + 1)
     text = F.concat_ws(":", name, F.col("s.start"), F.col("s.end"))
     spans = kept.groupBy("row").agg(
