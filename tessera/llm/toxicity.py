@@ -6,12 +6,14 @@ in toxic (p) and other (q) texts scales it, and a logistic regression is fitted
 the scaled features (Wang and Manning, 2012). Features whose ratio is within its own
 noise are left out.
 
-Labels come from a bounded sample, ``sample_rows`` texts for each class at most,
-chosen by hash; scoring reads every text whole. Labels and ids are used to pick
+The model is of bounded size: it learns from ``sample_rows`` texts for each class at most, chosen by hash, and has at most
+``features`` features, those of the surest ratios that are at least ``least_z`` standard errors from zero and that at least
+``least_texts`` texts have. Scoring reads every text whole, long ones in pieces of bounded size. Labels and ids are used to pick
 training texts, never as inputs of a score.
 
 Edge cases: null and empty texts have no feature and get the intercept's score;
-labelled rows with a null id, a null label or no document teach nothing; with no rows of
+labelled rows with a null id, a null label or no document teach nothing; an id with both labels counts as toxic, and
+of several texts of one id the one with the least hash teaches; with no rows of
 one of the classes every score is that of the other's share, smoothed; repeated
 rows are scored alike; an empty table gives no rows. Only the id and the text
 column are read.
@@ -41,8 +43,10 @@ BITS = 20
 SAMPLE_ROWS = 3000
 #: Features to fit at most.
 FEATURES = 1 << 14
-#: Least |r| in standard errors of r.
-LEAST_Z = 3.0
+#: Least |r| in standard errors of r, and texts that have a feature at least.
+LEAST_Z, LEAST_TEXTS = 3.0, 4
+#: Characters of one text whose features are held at once.
+PIECE = 1 << 20
 
 
 def grams(points: np.ndarray, offsets: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
@@ -64,6 +68,8 @@ def grams(points: np.ndarray, offsets: np.ndarray, order: int) -> tuple[np.ndarr
 def present(texts: pa.Array, code: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(text, feature) pairs, each once, by text. ``code`` maps the table to features, -1: none."""
     points, offsets = codepoints(pc.utf8_lower(texts).cast(pa.large_string()))
+    if len(texts) == 1 and len(points) > PIECE:
+        return _present_in_one(points, code)
     keys = []
     doc = np.repeat(np.arange(len(texts), dtype=np.int64), np.diff(offsets))
     for i, order in enumerate(ORDERS):
@@ -78,6 +84,20 @@ def present(texts: pa.Array, code: np.ndarray | None = None) -> tuple[np.ndarray
     return every >> 32, every & 0xFFFFFFFF
 
 
+def _present_in_one(points: np.ndarray, code: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """``present`` of one long text, piece by piece; pieces overlap, so that no feature is cut."""
+    seen = np.zeros(len(ORDERS) << BITS if code is None else int(code.max()) + 2, bool)
+    for at in range(0, len(points), PIECE):
+        part = points[at : at + PIECE + max(ORDERS) - 1]
+        for i, order in enumerate(ORDERS):
+            feature = grams(part, np.array([0, len(part)]), order)[0].astype(np.int64) | (i << BITS)
+            seen[feature if code is None else code[feature]] = True
+    if code is not None:
+        seen[-1] = False  # no feature of the model
+    found = np.flatnonzero(seen)
+    return np.zeros(len(found), np.int64), found
+
+
 @dataclass
 class Model:
     code: np.ndarray = field(repr=False)
@@ -112,19 +132,26 @@ def fit(doc: np.ndarray, feature: np.ndarray, ratio: np.ndarray, toxic: np.ndarr
     return w * ratio, b
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = SAMPLE_ROWS) -> Model:
+def ratios(p: Column, q: Column, toxic: int, other: int) -> tuple[Column, Column]:
+    """Log-count ratio of a feature that ``p`` of ``toxic`` texts and ``q`` of ``other`` ones have, and how many standard errors it is from zero."""
+    ratio = F.log((p + 1) / (toxic + 2)) - F.log((q + 1) / (other + 2))
+    return ratio, ratio / F.sqrt(1 / (p + 1) - 1 / (toxic + 2) + 1 / (q + 1) - 1 / (other + 2))
+
+
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = SAMPLE_ROWS, features: int = FEATURES, least_z: float = LEAST_Z, least_texts: int = LEAST_TEXTS) -> Model:
     """A model from ``labels``, which holds the rows to learn from only."""
     spark = docs.sparkSession
-    marked = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y"))
+    marked = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("id")).agg(F.max(F.col(label_col).cast("int")).alias("y"))
     totals = {r["y"]: r["count"] for r in marked.groupBy("y").count().collect()}
     share = (totals.get(1, 0) + 1) / (sum(totals.values()) + 2)
     empty = Model(np.full(len(ORDERS) << BITS, -1, np.int32), np.zeros(1), float(np.log(share / (1 - share))))
     if len(totals) < 2:
         return empty
     chosen = [marked.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(sample_rows).toPandas() for y in (0, 1)]
-    ids = spark.createDataFrame([(r.id, int(r.y)) for c in chosen for r in c.itertuples()], marked.schema).dropDuplicates(["id"])
+    ids = spark.createDataFrame([(r.id, int(r.y)) for c in chosen for r in c.itertuples()], marked.schema)
     found = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(ids), "id").select("id", "y", "text")
-    sample = materialize(found.dropDuplicates(["id"]), "labelled")
+    one = F.min(F.struct(F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"), "text"))["text"]
+    sample = materialize(found.groupBy("id", "y").agg(one.alias("text")), "labelled")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p, q = np.zeros(len(ORDERS) << BITS, np.int32), np.zeros(len(ORDERS) << BITS, np.int32)
@@ -137,14 +164,13 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         at = np.flatnonzero(p + q)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(p[at]), pa.array(q[at])], ["slot", "p", "q"])
 
-    counts = sample.mapInArrow(count, "slot int, p int, q int").groupBy("slot").agg(F.sum("p").alias("p"), F.sum("q").alias("q")).where("p + q >= 4")
+    counts = sample.mapInArrow(count, "slot int, p int, q int").groupBy("slot").agg(F.sum("p").alias("p"), F.sum("q").alias("q")).where(F.col("p") + F.col("q") >= least_texts)
     sizes = {r["y"]: r["count"] for r in sample.groupBy("y").count().collect()}
     if len(sizes) < 2:
         return empty
     np_, nq = sizes[1], sizes[0]
-    ratio = F.log((F.col("p") + 1) / (np_ + 2)) - F.log((F.col("q") + 1) / (nq + 2))
-    z = ratio / F.sqrt(1 / (F.col("p") + 1) - 1 / (np_ + 2) + 1 / (F.col("q") + 1) - 1 / (nq + 2))
-    best = counts.select("slot", ratio.alias("r"), F.abs(z).alias("z")).where(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "slot").limit(FEATURES).toPandas()
+    ratio, z = ratios(F.col("p"), F.col("q"), np_, nq)
+    best = counts.select("slot", ratio.alias("r"), F.abs(z).alias("z")).where(F.col("z") >= least_z).orderBy(F.desc("z"), "slot").limit(features).toPandas()
     if best.empty:
         return empty
     code = empty.code.copy()
@@ -185,4 +211,4 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 
 def held_out(id_col: str = "doc_id") -> Column:
-    return F.crc32(F.col(id_col).cast("string")) % 5 == 0
+    return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 5 == 0, F.lit(False))
