@@ -14,8 +14,7 @@ line in it is empty; digests of 1, 2, 4, ... lines make its digest in few steps,
 linear in the lines of a text however they repeat. Texts of more than ``BLOCK_LINES`` lines are worked on in blocks.
 
 Order is that of ids, then positions. A run is compared with its first place only, so a
-group of n copies costs n matches. Fingerprints that very many texts have, of which there are ``HOT_KEYS`` at most by
-arithmetic, are broadcast; all others are joined by a shuffle.
+group of n copies costs n matches. Fingerprints that very many texts have are broadcast (``join_counted``).
 
 Blank lines (nothing but spaces) are not compared and go with the line before them. Line ends are
 line feeds. Edge cases: null and empty texts have one empty line and lose nothing; rows equal in id
@@ -29,14 +28,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.llm.joins import join_counted
 from tessera.operators.storage import materialize
 
 #: Characters of a run that is deleted at least.
 LEAST_CHARS = 100
 #: Lines of a block of a very long text.
 BLOCK_LINES = 4096
-#: Fingerprints that are broadcast at most: those with more than this part of all that repeat.
-HOT_KEYS = 10_000
 
 KEYS = ["_w_null", "_w_id", "_w_tie"]
 FINGERPRINT = ["h", "d", "g"]
@@ -139,12 +137,8 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """(keys, _w_kept, _w_tail) of each text that has later runs: the (from, to) lines before each run, and the first line after the last."""
     found = materialize(windows(docs, id_col, text_col, least_chars, block_lines), "windows")
     place = F.struct(*KEYS, "start")
-    firsts = materialize(found.groupBy(*FINGERPRINT).agg(F.min(place).alias("f"), F.count(F.lit(1)).alias("c")).where("c > 1"), "firsts")
-    limit = (firsts.agg(F.sum("c")).first()[0] or 0) / HOT_KEYS
-    hot = F.broadcast(firsts.where(F.col("c") > limit).drop("c"))
-    cold = firsts.where(F.col("c") <= limit).drop("c")
-    places = [*KEYS, "start", "last"]
-    matched = found.join(hot, FINGERPRINT).select(*places, "f").unionByName(found.join(hot, FINGERPRINT, "left_anti").join(cold, FINGERPRINT).select(*places, "f"))
+    firsts = materialize(found.groupBy(*FINGERPRINT).agg(F.min(place).alias("f"), F.count(F.lit(1)).alias("n")).where("n > 1"), "firsts")
+    matched = join_counted(found, firsts, FINGERPRINT)
     later = matched.where(place > F.col("f")).select(*KEYS, "start", "last")
     of_text = Window.partitionBy(*KEYS)
     so_far = F.max("last").over(of_text.orderBy("start", "last").rowsBetween(Window.unboundedPreceding, -1))

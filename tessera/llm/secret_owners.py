@@ -10,7 +10,7 @@ the number of those that look live beside them.
 An owner is a value of ``owner_col``. A repository is a value of ``repo_col`` or, without such a column, a distinct text of an
 owner: copies of a document are one repository, however many there are.
 
-Values that very many candidates have, of which there are ``HOT_VALUES`` at most by arithmetic, are broadcast with their judgement; all others are joined by a shuffle.
+Values that very many candidates have are broadcast with their judgement (``join_counted``).
 
 Edge cases: null and empty texts have no span; a null owner or repository
 counts as one of its own; repeated rows are reported each, and add no owner and no repository; an empty table
@@ -31,6 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.joins import join_counted
 from tessera.llm.text import slices
 from tessera.operators.storage import materialize
 
@@ -38,8 +39,6 @@ from tessera.operators.storage import materialize
 KINDS = ("assign", "access", "hex", "owned")
 #: Owners and repositories that a live-looking value has at most.
 MOST_OWNERS, MOST_REPOS = 1, 3
-#: Values that are broadcast at most: those of more than this part of all candidates.
-HOT_VALUES = 10_000
 #: Bits a character of a long mixed token has at least.
 LEAST_ENTROPY = 3.5
 
@@ -124,10 +123,8 @@ def scan(
     found = materialize(candidates(docs, id_col, text_col, owner_col, repo_col).withColumn("row", F.monotonically_increasing_id()), "candidates")
     live = (F.col("owners") <= most_owners) & (F.col("repos") <= most_repos)
     judged = materialize(ownership(found).withColumn("live", live), "owners")
-    limit = (judged.agg(F.sum("n")).first()[0] or 0) / HOT_VALUES
-    hot, cold = F.broadcast(judged.where(F.col("n") > limit).select("value", "live")), judged.where(F.col("n") <= limit).select("value", "live")
     each = found.where(F.size("found") > 0).select("row", F.explode("found").alias("s")).withColumn("value", F.col("s.value"))
-    told = each.join(hot, "value").unionByName(each.join(hot, "value", "left_anti").join(cold, "value"))
+    told = join_counted(each, judged.select("value", "live", "n"), ["value"])
     kept = told.where("live or s.kind < 3")
     name = F.element_at(F.array(*map(F.lit, KINDS)), F.col("s.kind") + 1)
     text = F.concat_ws(":", name, F.col("s.start"), F.col("s.end"))

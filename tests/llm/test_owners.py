@@ -1,6 +1,10 @@
 """Ownership of secrets: owners and repositories both decide."""
 
+import pytest
+from pyspark.sql import functions as F
+
 from tessera.llm import secret_owners
+from tessera.llm.joins import join_counted
 
 VALUES = {k: f"token = {k}aB3dE6gH9kL2mN5pQ8sT1vW4" for k in ("private", "owners", "pasted", "copies")}
 MIXED = {k: f"{k}ZaB3dE6gH9kL2mN5pQ8sT1vW4x" for k in ("one", "many")}
@@ -27,7 +31,9 @@ def test_a_column_names_repositories(spark):
     assert {r["n_live"] for r in secret_owners.scan(frame, repo_col="repo", most_repos=1).collect()} == {0}
 
 
-def test_common_values_are_joined_as_others_are(spark, docs, monkeypatch):
-    want = sorted(map(tuple, secret_owners.scan(docs).collect()))
-    monkeypatch.setattr(secret_owners, "HOT_VALUES", 1)
-    assert sorted(map(tuple, secret_owners.scan(docs).collect())) == want
+@pytest.mark.parametrize("hot_keys", [1, 5, 10_000])
+def test_common_keys_are_joined_as_others_are(spark, hot_keys):
+    left = spark.createDataFrame([(i % 7 if i < 60 else i, i) for i in range(100)] + [(None, -1)], "k int, v int")
+    right = left.where("k is not null and k % 5 < 3").groupBy("k").agg(F.count(F.lit(1)).alias("n")).withColumn("w", F.col("k") * 2)
+    got = sorted(tuple(r) for r in join_counted(left, right, ["k"], hot_keys).select("k", "v", "w").collect())
+    assert got == sorted((i % 7 if i < 60 else i, i, 2 * (i % 7 if i < 60 else i)) for i in range(100) if (i % 7 if i < 60 else i) % 5 < 3)
