@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from tessera.llm import brown_lm, chunk_dedup, edit_embed, gear, line_winnow, media_chunks, mixing, packing, secret_owners, simhash_bk, toxicity
+from tessera.llm import brown_lm, edit_embed, gear, line_winnow, media_chunks, mixing, packing, secret_owners, simhash_bk, toxicity
 from tessera.llm.queries import vocabulary
 
 
@@ -348,31 +348,6 @@ def test_a_shared_run_of_window_lines_goes_from_the_later_text(spark):
 # --- 7
 
 
-def test_chunk_repeats(docs, rows):
-    firsts, known = {}, defaultdict(list)
-    for i, text, *_ in rows:
-        raw = np.frombuffer((text or "").encode(), np.uint8)
-        _, starts, ends = gear.chunks(raw, np.array([0, len(raw)]), chunk_dedup.BITS)
-        for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
-            chunk = raw[a:b].tobytes()
-            if chunk in firsts:
-                known[i].append((a, b, firsts[chunk]))
-            firsts.setdefault(chunk, i)
-    want = set()
-    for i, found in known.items():
-        run = []
-        for a, b, f in [*found, (1 << 40, 0, 0)]:
-            if run and run[-1][1] != a:
-                if run[-1][1] - run[0][0] >= chunk_dedup.LEAST_RUN:
-                    want.add((i, run[0][0], run[-1][1] - run[0][0], len(run), run[0][2]))
-                run = []
-            run.append((a, b, f))
-    got = {tuple(r) for r in chunk_dedup.repeats(docs).select("doc_id", "start", "length", "chunks", "first_id").collect()}
-    assert got == want and {r[0] for r in want} >= {19, 31, 43, 55}
-    clean = by_id(chunk_dedup.without_repeats(docs, chunk_dedup.repeats(docs)))
-    assert len(clean) == len(rows) and len(clean[5]["text"]) < 64 and clean[4]["text"] == rows[4][1]
-
-
 def test_cuts_move_with_the_text_and_do_not_see_the_text_before():
     rng = np.random.default_rng(6)
     raw = rng.integers(97, 120, 4000).astype(np.uint8)
