@@ -119,21 +119,31 @@ won AS (SELECT * FROM (SELECT *, row_number() OVER w AS r, coalesce(lead(support
         WINDOW w AS (PARTITION BY cluster_id, field_path ORDER BY round(support, 12) DESC, trust DESC, value)) WHERE r = 1)
 """
 
-#: Links between records of customers and suppliers, and their components, in SQL.
+#: Records of customers and suppliers, their block keys and the pairs that share one, in SQL. A name is "person" and a number, so
+#: that its sound key is the number and the code of "person".
 LINKED = (
     "WITH RECURSIVE "
     + PEOPLE.strip()
     + """,
-v AS (SELECT entity_key, email, phone, n, n_name, lower(seg) AS company, lower(n_name) AS city FROM c UNION ALL SELECT entity_key, email, phone, n, n_name, NULL, lower(n_name) FROM s),
-hub AS (SELECT entity_key, github FROM s),
-keys AS (SELECT entity_key, 'E:' || email AS k FROM v UNION ALL SELECT entity_key, 'P:' || right(phone, 9) FROM v UNION ALL SELECT entity_key, 'G:' || github FROM hub),
+v AS (SELECT entity_key, email, phone, n, n_name, lower(seg) AS company, lower(n_name) AS city, NULL::VARCHAR AS github FROM c
+      UNION ALL SELECT entity_key, email, phone, n, n_name, NULL, lower(n_name), github FROM s),
+keys AS (SELECT entity_key, 'E:' || email AS k FROM v UNION ALL SELECT entity_key, 'P:' || right(phone, 9) FROM v
+         UNION ALL SELECT entity_key, 'G:' || github FROM v WHERE github IS NOT NULL UNION ALL SELECT entity_key, 'N:' || n || '|PRSN' FROM v),
 pairs AS (SELECT DISTINCT a.entity_key AS l, b.entity_key AS r FROM keys a JOIN keys b ON a.k = b.k AND a.entity_key < b.entity_key),
-edges AS (SELECT l, r FROM pairs),
+judged AS (SELECT l, r, a.n AS an, b.n AS bn, a.email = b.email OR a.phone = b.phone OR coalesce(a.github = b.github, false) AS strong,
+           coalesce(a.company = b.company, false) OR a.city = b.city OR split_part(a.email, '@', 2) = split_part(b.email, '@', 2) AS backed
+           FROM pairs JOIN v a ON a.entity_key = l JOIN v b ON b.entity_key = r)
+"""
+)
+
+
+def components_sql(edges: str) -> str:
+    """``comp`` (entity_key, cluster_id) of the links in ``edges``."""
+    return f""", edges AS ({edges}),
 both_ways AS (SELECT l AS a, r AS b FROM edges UNION SELECT r, l FROM edges),
 reach(a, b) AS (SELECT entity_key, entity_key FROM v UNION SELECT reach.a, both_ways.b FROM reach JOIN both_ways ON reach.b = both_ways.a),
 comp AS (SELECT a AS entity_key, min(b) AS cluster_id FROM reach GROUP BY a)
 """
-)
 
 
 @query(
@@ -224,41 +234,41 @@ def record_views(spark, sf_dir):
 
 @query(LINKED + "SELECT entity_key, k AS block_key FROM keys")
 def block_keys(spark, sf_dir):
-    return R.block_keys(R.records(normal(spark, sf_dir))).where("not startswith(block_key, 'N:')")
+    return R.block_keys(R.records(normal(spark, sf_dir)))
 
 
 @query(LINKED + "SELECT l AS \"left\", r AS \"right\" FROM pairs")
 def candidate_pairs(spark, sf_dir):
-    views = materialize(R.records(normal(spark, sf_dir)), "records")
-    return R.candidate_pairs(views, R.block_keys(views).where("not startswith(block_key, 'N:')"))
+    return R.candidate_pairs(materialize(R.records(normal(spark, sf_dir)), "records"))
 
 
-@query(LINKED + """, near AS (SELECT a.entity_key AS l, b.entity_key AS r, a.email = b.email OR a.phone = b.phone OR coalesce(ga.github = gb.github, false) AS strong, a.n AS an, b.n AS bn,
+@query(LINKED + """, near AS (SELECT a.entity_key AS l, b.entity_key AS r, a.email = b.email OR a.phone = b.phone OR coalesce(a.github = b.github, false) AS strong, a.n AS an, b.n AS bn,
   coalesce(a.company = b.company, false) OR a.city = b.city OR (split_part(a.email, '@', 2) = split_part(b.email, '@', 2)) AS backed
-  FROM v a JOIN v b ON a.n_name = b.n_name AND a.n % 10 = b.n % 10 AND a.entity_key < b.entity_key LEFT JOIN hub ga ON ga.entity_key = a.entity_key LEFT JOIN hub gb ON gb.entity_key = b.entity_key)
+  FROM v a JOIN v b ON a.n_name = b.n_name AND a.n % 10 = b.n % 10 AND a.entity_key < b.entity_key
+  UNION SELECT l, r, strong, an, bn, backed FROM judged)
 SELECT l AS "left", r AS "right", CASE WHEN strong THEN 'tier1' WHEN an <> bn AND jaro_winkler_similarity('person ' || an, 'person ' || bn) < 0.92 THEN 'no_match' WHEN backed THEN 'tier2' ELSE 'tier3' END AS tier FROM near""")
 def cascade_tiers(spark, sf_dir):
+    """All pairs of the engine's blocks, and as many more whose names differ."""
     views = materialize(R.records(normal(spark, sf_dir)), "records")
-    keys = views.select("entity_key", F.concat(F.lit("C:"), F.col("cities")[0], F.lit(":"), F.substring("name_norm", -1, 1)).alias("block_key"))
-    return R.classify(R.candidate_pairs(views, keys), views).select("left", "right", "tier")
+    more = views.select("entity_key", F.concat(F.lit("C:"), F.col("cities")[0], F.lit(":"), F.substring("name_norm", -1, 1)).alias("block_key"))
+    return R.classify(R.candidate_pairs(views, R.block_keys(views).unionByName(more)), views).select("left", "right", "tier")
 
 
-@query("""WITH c AS (SELECT 'csv:' || c_custkey AS k, c_custkey AS num FROM customer WHERE c_custkey % 100 < 2)
-SELECT a.k AS "left", b.k AS "right", 'john smith' AS left_name, 'john smith' AS right_name FROM c a JOIN c b ON a.num // 100 = b.num // 100 AND a.k < b.k""")
+@query("""WITH p AS (SELECT 'csv:' || c_custkey AS k, c_custkey % 500 AS n, c_nationkey FROM customer)
+SELECT a.k AS "left", b.k AS "right", 'person ' || a.n AS left_name, 'person ' || b.n AS right_name FROM p a JOIN p b ON a.n = b.n AND a.k < b.k AND a.c_nationkey <> b.c_nationkey""")
 def possible_duplicates(spark, sf_dir):
-    rows = keyed(table(spark, sf_dir, "customer").where("c_custkey % 100 < 2"), "csv", "c_custkey", 0)
-    parts = [C.scalar("full_name", F.lit("Smith, John")), C.scalar("phones", F.concat(F.lit("+1 415 555 "), F.lpad((F.col("c_custkey") % 9000 + 1000).cast("string"), 4, "0")))]
-    views = materialize(R.records(C.normalize(C.emit(rows, "csv", "direct_field", parts))), "records")
-    keys = views.select("entity_key", F.expr("split(entity_key, ':')[1] div 100").cast("string").alias("block_key"))
-    found = R.possible_duplicates(R.classify(R.candidate_pairs(views, keys), views))
-    return found.select("left", "right", "left_name", "right_name")
+    """Customers that share a name and nothing else."""
+    rows = keyed(table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey")), "csv", "c_custkey", 0)
+    mail = F.concat(F.lit("c"), F.col("c_custkey"), F.lit("@host"), F.col("c_custkey"), F.lit(".com"))
+    none = F.lit(None).cast("string")
+    parts = [C.scalar("full_name", F.concat(F.lit("Person "), F.col("c_custkey") % 500)), C.scalar("emails", mail), C.fields_object("location", city=none, region=F.col("n_name"), country=F.col("n_name"))]
+    return R.resolve(C.normalize(C.emit(rows, "csv", "direct_field", parts)))[2].select("left", "right", "left_name", "right_name")
 
 
-@query(LINKED + "SELECT entity_key, cluster_id FROM comp")
+@query(LINKED + components_sql("SELECT l, r FROM pairs") + "SELECT entity_key, cluster_id FROM comp")
 def connected_component_labels(spark, sf_dir):
     views = materialize(R.records(normal(spark, sf_dir)), "records")
-    pairs = R.candidate_pairs(views, R.block_keys(views).where("not startswith(block_key, 'N:')"))
-    labels = connected_components(pairs, "left", "right").withColumnRenamed("node", "entity_key")
+    labels = connected_components(R.candidate_pairs(views), "left", "right").withColumnRenamed("node", "entity_key")
     return views.select("entity_key").join(labels, "entity_key", "left").select("entity_key", F.coalesce("component", "entity_key").alias("cluster_id"))
 
 
@@ -366,19 +376,21 @@ def confidence_sibling(spark, sf_dir):
     return project(_profiles(spark, sf_dir), config).select("mail", *of)
 
 
-@query(LINKED + """, members AS (SELECT cluster_id, count(*) AS n FROM comp GROUP BY cluster_id)
-SELECT cluster_id, substr(sha256('emails:' || min(v.email)), 1, 16) AS candidate_id, array_to_string(list_sort(list_distinct(list(v.email))), ',') AS emails, array_to_string(list_sort(list_distinct(list(v.phone))), ',') AS phones, count(DISTINCT v.entity_key) AS records
-FROM comp JOIN v USING (entity_key) GROUP BY cluster_id""")
+@query(
+    LINKED
+    + components_sql("SELECT l, r FROM judged WHERE strong OR (backed AND an = bn)")
+    + """, worst AS (SELECT cluster_id, max(CASE WHEN strong THEN 'tier1' ELSE 'tier2' END) AS tier FROM judged JOIN comp ON entity_key = l WHERE strong OR (backed AND an = bn) GROUP BY cluster_id)
+SELECT cluster_id, substr(sha256('emails:' || min(v.email)), 1, 16) AS candidate_id, array_to_string(list_sort(list_distinct(list(v.email))), ',') AS emails, array_to_string(list_sort(list_distinct(list(v.phone))), ',') AS phones,
+coalesce(any_value(tier), 'singleton') AS tier, count(DISTINCT v.entity_key) AS records
+FROM comp JOIN v USING (entity_key) LEFT JOIN worst USING (cluster_id) GROUP BY cluster_id"""
+)
 def resolved_profiles(spark, sf_dir):
-    """Records linked by identifiers alone, and their profiles."""
+    """All records resolved, and their profiles."""
     claims = materialize(normal(spark, sf_dir), "claims")
-    views = materialize(R.records(claims), "records")
-    pairs = R.candidate_pairs(views, R.block_keys(views).where("not startswith(block_key, 'N:')"))
-    tiers = R.classify(pairs, views).where("tier = 'tier1'")
-    clusters = materialize(R.components(views, tiers), "clusters")
-    merged = G.merge(claims.join(clusters, "entity_key"), R.weakest_tiers(clusters, tiers))
+    clusters, tiers, _ = R.resolve(claims)
+    merged = G.merge(claims.join(clusters, "entity_key"), tiers).join(tiers, "cluster_id")
     size = clusters.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("records"))
-    return merged.join(size, "cluster_id").select("cluster_id", "candidate_id", F.array_join("emails", ",").alias("emails"), F.array_join("phones", ",").alias("phones"), "records")
+    return merged.join(size, "cluster_id").select("cluster_id", "candidate_id", F.array_join("emails", ",").alias("emails"), F.array_join("phones", ",").alias("phones"), "tier", "records")
 
 
 @query()

@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions import matching, normalize, similarity
+from tessera.functions import matching, normalize, phonetic, similarity
 
 
 def _pairs(core, kind: str):
@@ -32,7 +32,7 @@ def register(spark: SparkSession) -> list[str]:
         "token_set_ratio": _pairs(similarity.token_set_ratio, "double"),
         "same_name": _pairs(matching.alike, "boolean"),
         "e164": _pairs(lambda raw, region: normalize.phone(raw, region)[0], "string"),
-        "sound_code": _singles(similarity.sound_code),
+        "sound_code": _singles(phonetic.sound_code),
         "strip_accents": _singles(normalize.strip_accents),
         "match_name": _singles(matching.match_name),
         "skill_canonical": _singles(lambda raw: normalize.skill(raw)[0]),

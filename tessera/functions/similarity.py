@@ -1,9 +1,7 @@
-"""String similarities and phonetic codes: plain functions, vectorised by the callers."""
+"""String similarities: plain functions, vectorised by the callers."""
 
 from __future__ import annotations
 
-import re
-
 
 def indel_ratio(a: str, b: str) -> float:
     """100 * (1 - insertions and deletions / total length)."""
@@ -54,75 +52,3 @@ def jaro_winkler(a: str, b: str) -> float:
         return jaro
     prefix = next((i for i, (x, y) in enumerate(zip(a[:4], b[:4], strict=False)) if x != y), min(4, len(a), len(b)))
     return jaro + prefix * 0.1 * (1 - jaro)
-
-
-#: Rules of the sound code in order of use: pattern at the current place, code. Longer contexts come first.
-_SOUNDS = [
-    (re.compile(p), code)
-    for p, code in (
-        (r"^(GN|KN|PN|PS|WR)(?=.)", ""),
-        (r"^X", "S"),
-        (r"SCH(?=[EIOU])", "SK"),
-        (r"SCH", "X"),
-        (r"TSCH|TCH", "X"),
-        (r"CHR|CHS(?=[^EI])|^CHOR|^CHARAC|^CHARIS", "K"),
-        (r"CH", "X"),
-        (r"SH|S(?=IO|IA)|T(?=IO[NU]|IA)", "X"),
-        (r"C(?=IA)", "X"),
-        (r"C(?=[EIY])", "S"),
-        (r"CK|CQ|CG|C", "K"),
-        (r"DG(?=[EIY])", "J"),
-        (r"DT|DD|D", "T"),
-        (r"GH(?=[AEIOUY])", "K"),
-        (r"GH", ""),
-        (r"GN(ED)?$", "N"),
-        (r"G(?=[EIY])", "J"),
-        (r"GG|G", "K"),
-        (r"(?<![AEIOUY])H(?=[AEIOUY])|(?<=[AEIOUY])H(?=[AEIOUY])", "H"),
-        (r"H", ""),
-        (r"J", "J"),
-        (r"KK|K", "K"),
-        (r"LL|L", "L"),
-        (r"(?<=U)MB(?=$|ER)", "M"),
-        (r"MM|M", "M"),
-        (r"NN|N", "N"),
-        (r"PH", "F"),
-        (r"PP|PB|P", "P"),
-        (r"QQ|Q", "K"),
-        (r"RR|R", "R"),
-        (r"SC(?=[EIY])", "S"),
-        (r"SC", "SK"),
-        (r"SS|SZ|S", "S"),
-        (r"TTH|TH", "0"),
-        (r"TT|TD|T", "T"),
-        (r"VV|V", "F"),
-        (r"WH|^W(?=[AEIOUY])", "A"),
-        (r"W(?=[AEIOUY])", ""),
-        (r"XX|X", "KS"),
-        (r"ZH", "J"),
-        (r"ZZ|Z", "S"),
-        (r"FF|F", "F"),
-        (r"BB|B", "P"),
-    )
-]
-
-
-def sound_code(word: str) -> str:
-    """A consonant-skeleton code after the published ideas of Double Metaphone's primary code; at most four symbols.
-
-    Used for blocking only: a shared code makes two records candidates, nothing more.
-    """
-    text, at, out = re.sub("[^A-Z]", "", word.upper()), 0, ""
-    while at < len(text) and len(out) < 4:
-        if text[at] in "AEIOUY":
-            out += "A" if at == 0 else ""
-            at += 1
-            continue
-        for pattern, code in _SOUNDS:
-            if m := pattern.match(text, at):
-                out += code
-                at += max(1, len(m[0]))
-                break
-        else:
-            at += 1
-    return out[:4]

@@ -94,3 +94,49 @@ def test_sql_names(spark):
     assert "jaro_winkler" in register(spark)
     row = spark.sql("select jaro_winkler('martha', 'marhta') a, token_set_ratio('b a', 'a b') b, e164('020 7946 0958', 'GB') c, strip_accents('é') d, skill_canonical('k8s') e, jaro_winkler(null, 'x') f, match_name('Park, Jonathan') g").first()
     assert row["a"] == pytest.approx(0.9611, abs=1e-4) and (row["b"], row["c"], row["d"], row["e"], row["f"], row["g"]) == (100.0, "+442079460958", "e", "Kubernetes", None, "jonathan park")
+
+
+@pytest.mark.parametrize(
+    ("word", "code"),
+    [
+        ("Thomas", "TMS"),
+        ("Tomas", "TMS"),
+        ("Michael", "MKL"),
+        ("Mikael", "MKL"),
+        ("Knight", "NT"),
+        ("Night", "NT"),
+        ("Wright", "RT"),
+        ("Right", "RT"),
+        ("Smith", "SM0"),
+        ("Schmidt", "XMT"),
+        ("Catherine", "K0RN"),
+        ("Kathryn", "K0RN"),
+        ("Knox", "NKS"),
+        ("Phillip", "FLP"),
+        ("Xavier", "SF"),
+        ("Jose", "HS"),
+        ("Caesar", "SSR"),
+        ("Bacchus", "PKS"),
+        ("Filipowicz", "FLPTS"),
+        ("Breaux", "PR"),
+        ("Hugh", "H"),
+        ("Cough", "KF"),
+        ("Edge", "AJ"),
+        ("Edgar", "ATKR"),
+        ("Island", "ALNT"),
+        ("Zhao", "J"),
+        ("Schermerhorn", "XRMRRN"),
+        ("", ""),
+        ("123", ""),
+    ],
+)
+def test_sound_codes(word, code):
+    from tessera.functions.phonetic import sound_code
+
+    assert sound_code(word) == code
+
+
+def test_names_that_sound_alike_meet_in_a_block():
+    for a, b in (("Thomas Muller", "Tomas Muller"), ("Michael Wright", "Right, Mikael"), ("Anna Knight", "Anna Night")):
+        assert M.sound_key(M.match_name(a)) == M.sound_key(M.match_name(b))
+    assert M.sound_key("person 12") == "N:12|PRSN"
