@@ -120,6 +120,27 @@ class BKTree:
                 todo += [child for key, child in children.items() if low <= key <= high]
         return found
 
+    def near_then_add(self, value: int, radius: int) -> list[int]:
+        """``near``, then ``add``, in one walk: the place of a value is always on the way of its search."""
+        if self.root is None:
+            self.root = [value, {}]
+            return []
+        found, todo, path = [], [self.root], self.root
+        while todo:
+            node = todo.pop()
+            here, children = node
+            d = (here ^ value).bit_count()
+            if d <= radius:
+                found.append(here)
+            if children:
+                low, high = d - radius, d + radius
+                todo += [child for key, child in children.items() if low <= key <= high]
+            if node is path and d:
+                path = children.get(d)
+                if path is None:
+                    children[d] = [value, {}]
+        return found
+
 
 def block_masks(n: int, radius: int, shard_rows: int = SHARD_ROWS) -> list[int]:
     """Bit masks of the shard keys: the fewest blocks that leave about ``shard_rows`` / 2 of ``n`` values to a shard."""
@@ -136,22 +157,33 @@ def _signed(x: int) -> int:
 
 
 def _units(values: DataFrame, shards: list[Column], shard_rows: int) -> DataFrame:
-    """(mask, shard, i, j, role, fp, ...): tree i meets queries j; role 0 builds, 1 asks, 2 does both."""
+    """(unit, role, ...): in a unit, rows of role 0 build the tree, 1 ask, 2 do both.
+
+    A shard is named by a hash of its table and key; where two hashes are equal their trees are one, which adds questions and loses
+    nothing. Part i of a crowded shard is a tree that meets the parts from i on.
+    """
     kept = values.columns
-    keyed = values.select(*kept, F.posexplode(F.array(*shards)).alias("mask", "shard"))
-    large = keyed.groupBy("mask", "shard").count().where(F.col("count") > shard_rows).select("mask", "shard", F.ceil(F.col("count") / shard_rows).cast("int").alias("parts"))
-    keyed = keyed.join(large, ["mask", "shard"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    part: Column = F.pmod(F.xxhash64(F.col(kept[-1])), F.col("parts")).cast("int")
-    as_tree = F.transform(F.sequence(F.col("part"), F.col("parts") - 1), lambda j: F.struct(F.col("part").alias("i"), j.alias("j"), F.when(j == F.col("part"), 2).otherwise(0).alias("role")))
-    as_query = F.transform(F.sequence(F.lit(0), F.col("part") - 1), lambda i: F.struct(i.alias("i"), F.col("part").alias("j"), F.lit(1).alias("role")))
-    roles = F.when(F.col("part") > 0, F.concat(as_tree, as_query)).otherwise(as_tree)
-    return keyed.withColumn("part", part).select("mask", "shard", *kept, F.explode(roles).alias("r")).select("mask", "shard", "r.i", "r.j", "r.role", *kept)
+    names = [F.xxhash64(F.lit(t), key) for t, key in enumerate(shards)]
+    keyed = values.select(*kept, F.explode(F.array(*names)).alias("shard"))
+    large = keyed.groupBy("shard").count().where(F.col("count") > shard_rows).select("shard", F.ceil(F.col("count") / shard_rows).cast("int").alias("parts"))
+    keyed = keyed.join(large, "shard", "left")
+    parts = F.col("parts")
+    part = F.pmod(F.xxhash64(F.col(kept[-1])), parts).cast("int")
+
+    def unit(i: Column, j: Column, role: Column) -> Column:
+        return F.struct(F.xxhash64(F.col("shard"), i, j).alias("unit"), role.cast("byte").alias("role"))
+
+    as_tree = F.transform(F.sequence(part, parts - 1), lambda j: unit(part, j, F.when(j == part, 2).otherwise(0)))
+    as_query = F.transform(F.sequence(F.lit(1), part), lambda i: unit(i - 1, part, F.lit(1)))
+    whole = F.array(F.struct(F.col("shard").alias("unit"), F.lit(2).cast("byte").alias("role")))
+    roles = F.when(parts.isNull(), whole).when(part > 0, F.concat(as_tree, as_query)).otherwise(as_tree)
+    return keyed.select(*kept, F.explode(roles).alias("r")).select("r.unit", "r.role", *kept)
 
 
 def tree_links(units: DataFrame, radius: int) -> DataFrame:
     """(a, b): enough pairs of nodes within ``radius`` bits of each other to connect all that a unit links.
 
-    A unit's rows end in a fingerprint and, where that does not name the node, in its key.
+    ``units``: unit, role, fingerprint and, where that does not name the node, its key.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,29 +195,37 @@ def tree_links(units: DataFrame, radius: int) -> DataFrame:
             return x
 
         for batch in batches:
+            if not len(batch):
+                continue
             left, right = [], []
-            columns = [c.to_pylist() for c in batch.columns]
-            for mask, shard, i, j, role, fp, *key in zip(*columns, strict=True):
-                if (mask, shard, i, j) != unit:
-                    unit, tree, parent, name = (mask, shard, i, j), BKTree(), {}, {}
-                value, node = fp & 0xFFFFFFFFFFFFFFFF, key[0] if key else fp
-                if role:
-                    for other in tree.near(value, radius):
+            keys = batch.column(0).to_numpy()
+            begins = np.concatenate(([0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(batch)])).tolist()
+            roles, fps, nodes = (batch.column(k).to_pylist() for k in (1, 2, len(batch.columns) - 1))
+            for at, to in zip(begins, begins[1:], strict=False):
+                if (here := keys[at]) != unit:
+                    unit = here
+                    if to - at == 1 and to < len(batch):  # alone in its unit
+                        continue
+                    tree, parent, name = BKTree(), {}, {}
+                for k in range(at, to):
+                    role, node = roles[k], nodes[k]
+                    value = fps[k] & 0xFFFFFFFFFFFFFFFF
+                    if role == 0:
+                        tree.add(value)
+                        found = [value] if name.setdefault(value, node) != node else []
+                    else:
+                        known = value in name
+                        found = tree.near(value, radius) if role == 1 or known else tree.near_then_add(value, radius)
+                        if role == 2 and not known:
+                            name[value] = node
+                    for other in found:
                         if (r := root(name[other])) != (mine := root(node)):
                             parent[r] = mine
                             left.append(node)
                             right.append(name[other])
-                if role != 1:
-                    if (twin := name.setdefault(value, node)) == node:
-                        tree.add(value)
-                    elif (r := root(twin)) != (mine := root(node)):  # another node with the same fingerprint
-                        parent[r] = mine
-                        left.append(node)
-                        right.append(twin)
             yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
 
-    unit = ["mask", "shard", "i", "j"]
-    return units.repartition(*unit).sortWithinPartitions(*unit, "role", "fp").mapInArrow(run, "a long, b long")
+    return units.repartition("unit").sortWithinPartitions("unit", "role", "fp").mapInArrow(run, "a long, b long")
 
 
 def links(values: DataFrame, radius: int = 4, shard_rows: int = SHARD_ROWS, n: int | None = None) -> DataFrame:

@@ -25,7 +25,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
@@ -195,12 +194,12 @@ def with_score(docs: DataFrame, model: Model, score_col: str = "score", text_col
     """``docs`` with the score of each row's text."""
     shared = docs.sparkSession.sparkContext.broadcast((model.code, model.weight, model.intercept))
 
-    @F.pandas_udf("double")
-    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         scorer = Model(*shared.value)
         for values in batches:
-            batch = pa.RecordBatch.from_arrays([pa.array(values, pa.string(), from_pandas=True)], ["text"])
-            yield pd.Series(np.concatenate([scorer.scores(texts) for _, texts in slices(batch, "text", SLICE)] or [np.zeros(0)]))
+            batch = pa.RecordBatch.from_arrays([values], ["text"])
+            yield pa.array(np.concatenate([scorer.scores(texts) for _, texts in slices(batch, "text", SLICE)] or [np.zeros(0)]))
 
     return docs.withColumn(score_col, scored(F.col(text_col)))
 
