@@ -130,6 +130,23 @@ def skill_column(raw: Column) -> Column:
     return vectorised(skill)(raw)
 
 
+#: Field -> its normalizer of (raw value, region), for those that Spark's functions cannot express.
+CORES: dict[str, Callable[[str | None, str | None], Result]] = {"phones": phone, "full_name": lambda raw, region: name(raw), "skills": lambda raw, region: skill(raw)}
+
+
+def field_column(field: Column, raw: Column, region: Column) -> Column:
+    """The result of each row's own normalizer, null where its field has none; once for each distinct input of a batch."""
+
+    @F.pandas_udf(RESULT)
+    def run(fields: pd.Series, values: pd.Series, regions: pd.Series) -> pd.DataFrame:
+        keys = list(zip(fields, values.where(values.notna(), None), regions.where(regions.notna(), None), strict=True))
+        known = {k: CORES[k[0]](*k[1:]) if k[0] in CORES else (None, None, None) for k in dict.fromkeys(keys)}
+        return pd.DataFrame([known[k] for k in keys], columns=["value", "quality", "reason"])
+
+    mine = field.isin(*CORES)
+    return F.when(mine, run(F.when(mine, field), F.when(mine, raw), F.when(field == "phones", region)))
+
+
 #: A dot-atom, an at sign, and a domain of labels that ends in letters.
 EMAIL = r"^[a-z0-9!#$%&'*+/=?^_`{|}~-]+(\.[a-z0-9!#$%&'*+/=?^_`{|}~-]+)*@([a-z0-9]([a-z0-9-]{0,61}[a-z0-9])?\.)+[a-z]{2,63}$"
 

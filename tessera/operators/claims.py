@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import normalize as N
@@ -61,10 +61,19 @@ def fields_object(field: str, **members: Column) -> tuple[str, Column, str]:
     return field, F.array(F.when(known, text)), "object"
 
 
+#: Fields that name a country.
+PLACES = ("location", "country")
+
+
+def _place_term() -> Column:
+    """The country that a claim names, as written but for case and margins."""
+    country = F.when(F.col("value_kind") == "object", F.get_json_object("raw_value", "$.country")).otherwise(F.col("raw_value"))
+    return F.when(F.col("field_path").isin(*PLACES), F.lower(F.trim(country)))
+
+
 def region_hints(claims: DataFrame) -> DataFrame:
     """(entity_key, region): the ISO code of the first place of a record that names a country."""
-    place = F.get_json_object("raw_value", "$.country")
-    named = claims.where(F.col("field_path").isin("location", "country")).select("entity_key", "claim_seq", F.lower(F.trim(F.when(F.col("value_kind") == "object", place).otherwise(F.col("raw_value")))).alias("term"))
+    named = claims.where(F.col("field_path").isin(*PLACES)).select("entity_key", "claim_seq", _place_term().alias("term"))
     found = named.join(F.broadcast(N.countries(claims.sparkSession)), "term")
     return found.groupBy("entity_key").agg(F.min_by("iso", "claim_seq").alias("region"))
 
@@ -73,31 +82,25 @@ def normalize(claims: DataFrame) -> DataFrame:
     """Claims with canonical values.
 
     A claim that cannot be normalized keeps a null value and the reason; an e-mail address goes altogether. Fields
-    without a normalizer pass unchanged. Python runs over the claims of its field only.
+    without a normalizer pass unchanged. One pass over the claims: a record's place reaches its numbers by a window over the
+    record, and one Python step normalizes the fields that need it.
     """
-    keep = [c for c in claims.columns if c not in ("value", "norm_quality", "abstained", "failed_method")]
-
-    def through(rows: DataFrame, result: Column) -> DataFrame:
-        done = rows.withColumn("r", result)
-        value, quality, reason = F.col("r.value"), F.col("r.quality"), F.col("r.reason")
-        return done.select(*keep, value.alias("value"), quality.alias("norm_quality"), value.isNull().alias("abstained"), F.when(value.isNull(), reason).alias("failed_method"))
-
-    def of(*fields: str) -> DataFrame:
-        return claims.where(F.col("field_path").isin(*fields))
-
-    raw = F.col("raw_value")
-    phones = of("phones").join(region_hints(claims), "entity_key", "left")
-    parts = [
-        through(of("emails"), N.email_column(raw)).where(~F.col("abstained")),
-        through(phones, N.phone_column(raw, F.col("region"))),
-        through(of("full_name"), N.name_column(raw)),
-        through(of("skills"), N.skill_column(raw)),
-        claims.where(~F.col("field_path").isin("emails", "phones", "full_name", "skills")),
-    ]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out.to(claim_schema())
+    field, raw = F.col("field_path"), F.col("raw_value")
+    named = claims.withColumn("_term", _place_term()).join(F.broadcast(N.countries(claims.sparkSession).withColumnRenamed("term", "_term")), "_term", "left")
+    region = F.min_by("iso", F.when(F.col("iso").isNotNull(), F.col("claim_seq"))).over(Window.partitionBy("entity_key"))
+    result = F.when(field == "emails", N.email_column(raw)).otherwise(N.field_column(field, raw, F.col("_region")))
+    done = named.withColumn("_region", region).withColumn("r", result)
+    touched = field.isin("emails", *N.CORES)
+    value = F.when(touched, F.col("r.value")).otherwise(F.col("value"))
+    out = done.withColumns(
+        {
+            "value": value,
+            "norm_quality": F.when(touched, F.col("r.quality")).otherwise(F.col("norm_quality")),
+            "abstained": F.when(touched, F.col("r.value").isNull()).otherwise(F.col("abstained")),
+            "failed_method": F.when(touched, F.when(F.col("r.value").isNull(), F.col("r.reason"))).otherwise(F.col("failed_method")),
+        }
+    )
+    return out.where((field != "emails") | ~F.col("abstained")).select(*claims.columns).to(claim_schema())
 
 
 def live(claims: DataFrame) -> DataFrame:

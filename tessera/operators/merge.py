@@ -1,7 +1,7 @@
 """One profile for each cluster: what its claims say, and how sure that is.
 
 A claim's belief is trust of its source * reliability of its method * quality of its normal form. Beliefs in one value combine by noisy-or;
-a rival value discounts the winner by its share. Everything is keyed by cluster, so that one shuffle serves all reducers.
+a rival value discounts the winner by its share. Everything is keyed by cluster, so that one shuffle and one aggregate serve all fields.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators.claims import live
+from tessera.operators.storage import materialize
 from tessera.resources import load
 from tessera.schema import EXPERIENCE, LOCATION, profile_schema
 
@@ -51,16 +52,20 @@ def supports(claims: DataFrame) -> DataFrame:
     return found.repartition("cluster_id")
 
 
+def ranked(supported: DataFrame) -> DataFrame:
+    """``supported`` with the ``rank`` of each value in its field and the ``confidence`` it has as the winner."""
+    order = Window.partitionBy("cluster_id", "field_path").orderBy(F.desc("support"), F.desc("trust"), "value")
+    rival = F.coalesce(F.lead("support").over(order), F.lit(0.0))
+    share = F.col("support") * F.col("support") / (F.col("support") + rival)
+    return supported.withColumn("confidence", F.round(share, PLACES)).withColumn("rank", F.row_number().over(order))
+
+
 def winners(supported: DataFrame) -> DataFrame:
     """(cluster_id, field_path, value, confidence): the value with the most support; ties go to trust, then to the lesser value.
 
     The confidence is the winner's support times its share against the second value.
     """
-    ranked = Window.partitionBy("cluster_id", "field_path").orderBy(F.desc("support"), F.desc("trust"), "value")
-    rival = F.coalesce(F.lead("support").over(ranked), F.lit(0.0))
-    share = F.col("support") * F.col("support") / (F.col("support") + rival)
-    first = supported.withColumn("confidence", F.round(share, PLACES)).withColumn("rank", F.row_number().over(ranked))
-    return first.where("rank = 1").select("cluster_id", "field_path", "value", "confidence")
+    return ranked(supported).where("rank = 1").select("cluster_id", "field_path", "value", "confidence")
 
 
 def unions(supported: DataFrame, fields: tuple[str, ...] = LISTS) -> DataFrame:
@@ -150,31 +155,37 @@ def overall(confidences: Column, cluster_confidence: Column) -> Column:
 
 def merge(claims: DataFrame, tiers: DataFrame) -> DataFrame:
     """Profiles with ``cluster_id`` and ``field_conf``; ``claims`` carry cluster_id, ``tiers`` are (cluster_id, tier)."""
-    supported = supports(claims)
-    won = winners(supported.where(F.col("field_path").isin(*SINGLE) | F.col("field_path").isin(*[f"links.{k}" for k in LINKS])))
-    confidence = F.col("confidence")
+    field, value, support = F.col("field_path"), F.col("value"), F.col("support")
+    scored = ranked(materialize(supports(claims), "supported").repartition("cluster_id"))
+    first, at = F.col("rank") == 1, {f: field == f for f in (*SINGLE, *LISTS, "skills", "experience", *[f"links.{k}" for k in LINKS])}
 
     def one(name: str) -> Column:
-        return F.max(F.when(F.col("field_path") == name, F.col("value"))).alias(name)
-
-    def pairs(rows: DataFrame, field: Column) -> DataFrame:
-        return rows.select("cluster_id", field.alias("field"), confidence)
-
-    lists, skill, linked = unions(supported), skills(supported), links(won)
-    jobs = objects(supported, "experience", EXPERIENCE)
-    single = won.where(F.col("field_path").isin(*SINGLE))
-    known = pairs(single, F.col("field_path")).union(pairs(lists, F.col("field_path"))).union(pairs(skill, F.lit("skills"))).union(pairs(jobs, F.lit("experience"))).union(pairs(linked, F.lit("links")))
-    known = known.groupBy("cluster_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("field", "confidence")))).alias("field_conf"))
-    base = claims.groupBy("cluster_id").agg(_identity(), _provenance(), _abstentions()).join(tiers, "cluster_id")
-    for part in (
-        single.groupBy("cluster_id").agg(*[one(f) for f in SINGLE]),
-        lists.groupBy("cluster_id").agg(*[F.first(F.when(F.col("field_path") == f, F.col("values")), ignorenulls=True).alias(f) for f in LISTS]),
-        skill.drop("confidence"),
-        jobs.select("cluster_id", F.col("objects").alias("experience")),
-        linked.drop("confidence"),
-        known,
-    ):
-        base = base.join(part, "cluster_id", "left")
+        return F.max(F.when(at[name] & first, value))
+
+    def sure(name: str) -> Column:
+        return F.max(F.when(at[name] & first, F.col("confidence")))
+
+    def best(name: str) -> Column:
+        return F.round(F.max(F.when(at[name], support)), PLACES)
+
+    def listed(name: str, what: Column) -> Column:
+        return F.sort_array(F.collect_list(F.when(at[name], what)))
+
+    job = F.when(at["experience"], value)
+    skill = F.struct(value.alias("name"), F.round("support", PLACES).alias("confidence"), "sources")
+    confidences = {f: sure(f) for f in SINGLE} | {f: best(f) for f in (*LISTS, "skills", "experience")} | {"links": F.greatest(*[sure(f"links.{k}") for k in LINKS])}
+    parts = scored.withColumns({"k": canonical_text(job), "o": F.from_json(job, EXPERIENCE)}).groupBy("cluster_id")
+    parts = parts.agg(
+        *[one(f).alias(f) for f in SINGLE],
+        *[listed(f, value).alias(f) for f in LISTS],
+        listed("skills", skill).alias("skills"),
+        F.transform(listed("experience", F.struct("k", "o")), lambda x: x["o"]).alias("experience"),
+        F.struct(*[one(f"links.{k}").alias(k) for k in LINKS], F.array().cast("array<string>").alias("other")).alias("links"),
+        F.array(*[F.struct(F.lit(f).alias("field"), c.alias("confidence")) for f, c in confidences.items()]).alias("field_conf"),
+    )
+    known = F.map_from_entries(F.sort_array(F.filter("field_conf", lambda x: x["confidence"].isNotNull())))
+    parts = parts.withColumn("field_conf", known)
+    base = claims.groupBy("cluster_id").agg(_identity(), _provenance(), _abstentions()).join(tiers, "cluster_id").join(parts, "cluster_id", "left")
     schema = profile_schema()
     base = base.withColumn("location", F.from_json("location", LOCATION)).withColumn("years_experience", F.col("years_experience").cast("double")).withColumn("education", F.array().cast(schema["education"].dataType))
     none = {"location": F.struct(*[F.lit(None).cast("string").alias(k) for k in ("city", "region", "country")]), "links": F.struct(*[F.lit(None).cast("string").alias(k) for k in LINKS], F.array().cast("array<string>").alias("other"))}
