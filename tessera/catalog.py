@@ -365,13 +365,13 @@ def project_paths(spark, sf_dir):
 
 @query("WITH " + PEOPLE.strip() + """ SELECT 'Person ' || n AS name, email AS mail, NULL::VARCHAR AS headline, 'headline' AS omitted FROM c""")
 def on_missing_matrix(spark, sf_dir):
-    config = from_dict({"fields": [{"path": "name", "from": "full_name", "required": True}, {"path": "mail", "from": "emails[0]"}, {"path": "headline", "on_missing": "omit"}]})
+    config = from_dict({"fields": [{"path": "name", "from": "full_name", "type": "string", "required": True}, {"path": "mail", "from": "emails[0]", "type": "string"}, {"path": "headline", "type": "string", "on_missing": "omit"}]})
     return project(_profiles(spark, sf_dir), config).select("name", "mail", "headline", F.array_join("_omitted", ",").alias("omitted"))
 
 
 @query("WITH " + PEOPLE.strip() + """ SELECT email AS mail, 0.85 AS mail_confidence, 0.0 AS headline_confidence, 0.7225 AS name_confidence FROM c""")
 def confidence_sibling(spark, sf_dir):
-    config = from_dict({"fields": [{"path": "mail", "from": "emails[0]"}, {"path": "name", "from": "full_name"}, {"path": "headline"}], "include_confidence": True})
+    config = from_dict({"fields": [{"path": "mail", "from": "emails[0]", "type": "string"}, {"path": "name", "from": "full_name", "type": "string"}, {"path": "headline", "type": "string"}], "include_confidence": True})
     of = [F.col("confidence")[k].alias(f"{k}_confidence") for k in ("mail", "headline", "name")]
     return project(_profiles(spark, sf_dir), config).select("mail", *of)
 

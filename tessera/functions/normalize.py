@@ -42,10 +42,14 @@ def _plans() -> tuple[dict, dict]:
     return plans, {region: code for code, (regions, _, _) in plans.items() for region in regions}
 
 
+#: What follows a number to name a line behind it; no part of E.164.
+EXTENSION = re.compile(r"(?i)[\s,;]*(?:extension|ext\.?|x|#)[\s.:=]*\d{1,7}$")
+
+
 def phone(raw: str | None, region: str | None = None) -> Result:
     """E.164 of a number that is valid in its plan; without a leading + the region's plan is used."""
     reason = "e164_invalid" if region else "e164_no_region"
-    text = (raw or "").strip()
+    text = EXTENSION.sub("", (raw or "").strip())
     digits = re.sub(r"\D", "", text)
     if not digits or re.search("[A-Za-z]", text):
         return None, 0.0, reason
@@ -147,22 +151,26 @@ def field_column(field: Column, raw: Column, region: Column) -> Column:
     return F.when(mine, run(F.when(mine, field), F.when(mine, raw), F.when(field == "phones", region)))
 
 
-#: A dot-atom, an at sign, and a domain of labels that ends in letters.
-EMAIL = r"^[a-z0-9!#$%&'*+/=?^_`{|}~-]+(\.[a-z0-9!#$%&'*+/=?^_`{|}~-]+)*@([a-z0-9]([a-z0-9-]{0,61}[a-z0-9])?\.)+[a-z]{2,63}$"
+#: A dot-atom, an at sign, and a domain of labels that ends in letters; other characters than ASCII may stand where letters may.
+_ATOM, _ALNUM = r"[a-z0-9!#$%&'*+/=?^_`{|}~\x{80}-\x{10FFFF}-]+", r"[a-z0-9\x{80}-\x{10FFFF}]"
+EMAIL = rf"^{_ATOM}(\.{_ATOM})*@({_ALNUM}(({_ALNUM}|-){{0,61}}{_ALNUM})?\.)+([a-z\x{{80}}-\x{{10FFFF}}]{{2,63}}|xn--[a-z0-9-]+)$"
+#: Top-level domains that no address on the Internet has (RFC 6761 and RFC 7686).
+SPECIAL_USE = ("arpa", "invalid", "local", "localhost", "onion", "test")
 
 
 def email_column(raw: Column) -> Column:
     """Lower case; abstains where the syntax is wrong. Spark functions only."""
     text = F.lower(F.trim(raw))
-    good = text.rlike(EMAIL) & (F.length(text) <= 254) & (F.length(F.substring_index(text, "@", 1)) <= 64)
+    good = text.rlike(EMAIL) & (F.length(text) <= 254) & (F.length(F.substring_index(text, "@", 1)) <= 64) & ~F.substring_index(text, ".", -1).isin(*SPECIAL_USE)
     return F.struct(F.when(good, text).alias("value"), F.when(good, FULL).otherwise(0.0).alias("quality"), F.when(~F.coalesce(good, F.lit(False)), "email_syntax").alias("reason"))
 
 
 def countries(spark: SparkSession) -> DataFrame:
-    """(term, iso): lower-case codes and names of all ISO 3166 countries, as the Java platform knows them."""
+    """(term, iso): lower-case codes and names of all ISO 3166 countries, as the Java platform knows them, and their official names."""
     locale = spark._jvm.java.util.Locale
     rows = {}
     for iso in locale.getISOCountries():
         here = spark._jvm.java.util.Locale.Builder().setRegion(iso).build()
         rows |= {iso.lower(): iso, here.getISO3Country().lower(): iso, here.getDisplayCountry(locale.ENGLISH).lower(): iso}
+    rows |= {name.lower(): iso for iso, names in load("countries")["names"].items() for name in names}
     return spark.createDataFrame(sorted(rows.items()), "term string, iso string")

@@ -20,6 +20,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The shared folder, also set as checkpoint folder if none is set."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not sc.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not named:
         app = sc.applicationId
         if app not in _own:
@@ -45,6 +47,6 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """An eager reliable checkpoint in the shared folder; Spark removes it when unused."""
+    """An eager reliable checkpoint in the shared folder; it stays there, unless spark.cleaner.referenceTracking.cleanCheckpoints is set."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)

@@ -62,7 +62,7 @@ def from_dict(data: object) -> Config:
         path, own = entry.get("path"), entry.get("on_missing")
         _check(isinstance(path, str) and bool(path), "a field needs a path")
         _check(path not in [f.path for f in fields], f"path {path!r} twice")
-        kind, hook, origin = entry.get("type", "string"), entry.get("normalize"), entry.get("from", path)
+        kind, hook, origin = entry.get("type"), entry.get("normalize"), entry.get("from", path)
         _check(kind in TYPES, f"unknown type {kind!r} of {path!r}")
         _check(isinstance(origin, str), f"from of {path!r} must be a text")
         try:

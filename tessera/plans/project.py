@@ -115,5 +115,11 @@ def write_json(rows: DataFrame, path: str | None = None) -> str:
 
 
 def write_json_lines(rows: DataFrame, folder: str) -> None:
-    """JSON lines in parallel, for results of any size; nulls are kept, omitted fields are null."""
-    rows.drop("_omitted").write.option("ignoreNullFields", "false").json(folder)
+    """JSON lines in parallel, for results of any size; nulls are kept, omitted fields are left out."""
+    kept = [c for c in rows.columns if c != "_omitted"]
+    pieces = []
+    for name in kept:
+        member = F.to_json(F.struct(F.col(f"`{name}`").alias(name)), {"ignoreNullFields": "false"})
+        pieces.append(F.when(~F.array_contains("_omitted", name), F.regexp_extract(member, r"(?s)^\{(.*)\}$", 1)))
+    text = F.concat(F.lit("{"), F.concat_ws(",", *pieces), F.lit("}"))
+    rows.select(text.alias("value")).write.text(folder)

@@ -77,7 +77,7 @@ def test_short_config(spark, result):
 
 def test_policies(result):
     def one(**field):
-        return list(to_dicts(project(result.profiles, from_dict({"fields": [{"path": "x", "from": "headline", **field}]}))))[0]
+        return list(to_dicts(project(result.profiles, from_dict({"fields": [{"path": "x", "from": "headline", "type": "string", **field}]}))))[0]
 
     assert one() == {"x": None}
     assert one(on_missing="omit") == {}
@@ -94,7 +94,7 @@ def test_types(result):
         project(result.profiles, from_dict({"fields": [{"path": "emails", "type": "string"}]}))
     with pytest.raises(OutputValidationError):
         project(result.profiles, from_dict({"fields": [{"path": "s", "from": "experience[].start", "type": "string[]"}]}))
-    out = project(result.profiles, from_dict({"fields": [{"path": "s", "from": "skills[].nothing", "type": "string[]"}, {"path": "last", "from": "emails[-1]"}, {"path": "far", "from": "emails[9]"}]}))
+    out = project(result.profiles, from_dict({"fields": [{"path": "s", "from": "skills[].nothing", "type": "string[]"}, {"path": "last", "from": "emails[-1]", "type": "string"}, {"path": "far", "from": "emails[9]", "type": "string"}]}))
     assert list(to_dicts(out))[5] == {"s": [], "last": "robert.chen@globex.com", "far": None}
 
 
@@ -118,7 +118,7 @@ def test_a_bad_source_does_not_stop_the_others(spark, data, tmp_path):
     (tmp_path / "a.csv").write_bytes(b"\xff\xfe\x00\x01\x02")
     (tmp_path / "b.json").write_text("{broken")
     (tmp_path / "c.csv").write_text("name,email\nAnn Lee,ann@x.org\n")
-    got = run(spark, [tmp_path, tmp_path / "none.csv"], from_dict({"fields": [{"path": "full_name"}]}), tmp_path)
+    got = run(spark, [tmp_path, tmp_path / "none.csv"], from_dict({"fields": [{"path": "full_name", "type": "string"}]}), tmp_path)
     assert list(to_dicts(got.output)) == [{"full_name": "Ann Lee"}]
     assert len([n for n in got.diagnostics if "skipped" in n]) == 3
 
@@ -190,9 +190,31 @@ def test_components(spark):
 def test_cli(spark, data, tmp_path, capsys):
     (tmp_path / "c.json").write_text(json.dumps(SHORT))
     (tmp_path / "bad.json").write_text("{}")
-    (tmp_path / "strict.json").write_text(json.dumps({"fields": [{"path": "headline", "required": True}]}))
+    (tmp_path / "strict.json").write_text(json.dumps({"fields": [{"path": "headline", "type": "string", "required": True}]}))
     base = ["-i", str(data / "inputs"), "--recorded", str(data / "recorded"), "-c"]
     assert cli.main([*base, str(tmp_path / "bad.json")]) == 2
     assert cli.main([*base, str(tmp_path / "strict.json")]) == 1
     assert cli.main([*base, str(tmp_path / "c.json"), "-o", str(tmp_path / "out.json")]) == 0
     assert len(json.loads((tmp_path / "out.json").read_text())) == 7
+
+
+def test_a_field_needs_a_type():
+    with pytest.raises(ConfigError):
+        from_dict({"fields": [{"path": "full_name"}]})
+
+
+def test_json_lines_leave_out_what_is_omitted(spark, tmp_path):
+    from tessera.plans.project import write_json_lines
+
+    rows = spark.createDataFrame([("a", None, ["x"], []), (None, 'q"u', None, ["a b"]), (None, None, [], ["a b", "d"])], "`a b` string, c string, d array<string>, _omitted array<string>")
+    write_json_lines(rows.coalesce(1), str(tmp_path / "lines"))
+    got = [json.loads(line) for f in sorted((tmp_path / "lines").glob("part-*")) for line in f.read_text(encoding="utf-8").splitlines()]
+    assert got == [{"a b": "a", "c": None, "d": ["x"]}, {"c": 'q"u', "d": None}, {"c": None}]
+
+
+def test_record_numbers_of_many_files_stay_apart(spark):
+    from tessera.sources.readers import csv_claims
+
+    rows = spark.createDataFrame([(f, i, {"name": f"n{f}.{i}"}, None, None) for f in (0, 512, 60_000) for i in (0, 5_000_000)], "file int, idx long, fields map<string,string>, items array<string>, error string")
+    got = [r["value"] for r in csv_claims(rows, True).orderBy("claim_seq").collect()]
+    assert got == [f"n{f}.{i}" for f in (0, 512, 60_000) for i in (0, 5_000_000)]

@@ -19,6 +19,13 @@ from tessera.functions import similarity as S
         ("4111 1111 1111 1111", "US", None),
         ("", "US", None),
         (None, None, None),
+        ("+380 44 123 4567", None, "+380441234567"),
+        ("+234 803 123 4567", None, "+2348031234567"),
+        ("+84 91 234 5678", None, "+84912345678"),
+        ("081 234 5678", "TH", "+66812345678"),
+        ("+1 415 555 0101 x12", None, "+14155550101"),
+        ("+1 415 555 0101 ext. 7", None, "+14155550101"),
+        ("+999 12345678", None, None),
     ],
 )
 def test_phone(raw, region, value):
@@ -54,13 +61,16 @@ def test_skills():
 def test_emails(spark):
     from pyspark.sql import functions as F
 
-    rows = spark.createDataFrame([("  Jon.Park@Example.COM ",), ("not-an-email",), ("a@@b",), ("a..b@c.de",), (None,)], "raw string")
+    raw = ["  Jon.Park@Example.COM ", "not-an-email", "a@@b", "a..b@c.de", None, "jörg@exämple.de", "x@host.test", "x@printer.local", "x@a.onion", "x@-a.de", "用户@例子.中国", "x@xn--fsqu00a.xn--fiqs8s"]
+    rows = spark.createDataFrame([(x,) for x in raw], "raw string")
     got = [r["value"] for r in rows.select(N.email_column(F.col("raw"))["value"].alias("value")).collect()]
-    assert got == ["jon.park@example.com", None, None, None, None]
+    assert got == ["jon.park@example.com", None, None, None, None, "jörg@exämple.de", None, None, None, None, "用户@例子.中国", "x@xn--fsqu00a.xn--fiqs8s"]
 
 
 def test_countries(spark):
     known = {r["term"]: r["iso"] for r in N.countries(spark).collect()}
+    official = {"russian federation": "RU", "united states of america": "US", "viet nam": "VN", "czech republic": "CZ", "republic of india": "IN", "korea, republic of": "KR"}
+    assert {name: known.get(name) for name in official} == official
     assert known["united kingdom"] == "GB" and known["usa"] == "US" and known["us"] == "US" and "atlantis" not in known
 
 
