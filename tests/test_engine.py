@@ -218,3 +218,15 @@ def test_record_numbers_of_many_files_stay_apart(spark):
     rows = spark.createDataFrame([(f, i, {"name": f"n{f}.{i}"}, None, None) for f in (0, 512, 60_000) for i in (0, 5_000_000)], "file int, idx long, fields map<string,string>, items array<string>, error string")
     got = [r["value"] for r in csv_claims(rows, True).orderBy("claim_seq").collect()]
     assert got == [f"n{f}.{i}" for f in (0, 512, 60_000) for i in (0, 5_000_000)]
+
+
+def test_a_number_that_very_many_records_have(spark):
+    """Links grow with the records, not with their pairs; a number that only ends alike is compared."""
+    n = 10_000
+    rows = spark.range(n).selectExpr("concat('csv:', id) AS entity_key", "id AS record_seq", "'+14155550101' AS phone", "concat('name ', id) AS name")
+    rows = rows.unionByName(spark.createDataFrame([("csv:x", n + 1, "+4414155550101", "name 7"), ("csv:y", n + 2, "+4414155550101", "other")], rows.schema))
+    claims = C.emit(rows, "csv", "direct_field", [C.scalar("phones", rows["phone"]), C.scalar("full_name", rows["name"])])
+    clusters, tiers, duplicates = R.resolve(claims)
+    sizes = sorted(r["count"] for r in clusters.groupBy("cluster_id").count().collect())
+    assert sizes == [2, n] and {r["tier"] for r in tiers.collect()} == {"tier1"}
+    assert [(r["left"], r["right"]) for r in duplicates.where("right = 'csv:x' and left_name = right_name").collect()] == [("csv:7", "csv:x")]
