@@ -14,6 +14,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
+_written: dict[str, SparkSession] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -41,9 +42,29 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     can be pruned from it.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tessera-{uuid.uuid4().hex}/{label}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    folder = f"{shared_dir(spark)}/tessera-{uuid.uuid4().hex}"
+    df.write.parquet(f"{folder}/{label}")
+    _written[folder] = spark
+    return spark.read.schema(df.schema).parquet(f"{folder}/{label}")
+
+
+def release(folders: list[str] | None = None) -> int:
+    """Remove the named tables, or all that ``materialize`` has written; for when their results have been written or collected. Returns how many.
+
+    Runs by itself when the program ends.
+    """
+    n = 0
+    for folder in list(_written) if folders is None else folders:
+        spark = _written.pop(folder)
+        try:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            n += path.getFileSystem(spark._jvm.org.apache.hadoop.conf.Configuration()).delete(path, True)
+        except Exception:  # the session's Java side has gone; nothing can be done from here
+            continue
+    return n
+
+
+atexit.register(release)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
