@@ -399,3 +399,73 @@ def full_profiles(spark, sf_dir):
     claims = note_claims(spark, sf_dir).unionByName(people(spark, sf_dir))
     profiles, _ = profiles_of(claims)
     return profiles.select("candidate_id", "full_name", F.array_join("emails", ",").alias("emails"), F.array_join("phones", ",").alias("phones"), F.array_join(F.transform("skills", lambda s: s["name"]), ",").alias("skills"), F.size("experience").alias("jobs"), F.size("abstentions").alias("abstentions"), "overall_confidence")
+
+
+@query("""SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 'Ruby' WHEN 1 THEN 'Machine Learning' WHEN 2 THEN 'Node.js' ELSE 'Underwater ' || p_brand END AS skill,
+CASE WHEN p_size % 4 = 3 THEN 0.85 ELSE 1.0 END::DOUBLE AS quality FROM part""")
+def fuzzy_skill(spark, sf_dir):
+    """Other orders and repeats of a skill's words, and a near miss of one; of skills that fit alike the first one in the table is meant."""
+    kind = F.col("p_size") % 4
+    raw = F.when(kind == 0, "Rails on Ruby").when(kind == 1, "Learning Machine Learning").when(kind == 2, "Node.jss").otherwise(F.concat(F.lit("Underwater "), "p_brand"))
+    return table(spark, sf_dir, "part").withColumn("r", N.skill_column(raw)).select("p_partkey", F.col("r.value").alias("skill"), F.col("r.quality").alias("quality"))
+
+
+@query("""SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN 'Jose Garcia ' || c_custkey WHEN 1 THEN 'Zoe O''Brien-Lovgren' ELSE 'Иван Петров' END AS name,
+CASE c_custkey % 3 WHEN 1 THEN 1.0 ELSE 0.85 END::DOUBLE AS quality FROM customer""")
+def accented_names(spark, sf_dir):
+    kind = F.col("c_custkey") % 3
+    raw = F.when(kind == 0, F.concat(F.lit(" josé  GARCÍA "), "c_custkey")).when(kind == 1, "zoë o'brien-lövgren").otherwise("Иван Петров")
+    return table(spark, sf_dir, "customer").withColumn("r", N.name_column(raw)).select("c_custkey", F.col("r.value").alias("name"), F.col("r.quality").alias("quality"))
+
+
+@query("""WITH f AS (SELECT c_custkey, lpad((c_custkey % 900 + 100)::VARCHAR, 3, '0') AS tail, c_custkey % 4 AS kind FROM customer)
+SELECT 'csv:' || c_custkey AS entity_key, CASE kind WHEN 0 THEN '+442079460' || tail WHEN 1 THEN '+33142278' || tail WHEN 2 THEN '+14155550' || tail END AS phone, CASE kind WHEN 3 THEN 'e164_no_region' END AS reason FROM f""")
+def regional_phones(spark, sf_dir):
+    """National numbers take the plan of their record's country; without one they abstain."""
+    rows = keyed(table(spark, sf_dir, "customer"), "csv", "c_custkey", 0).withColumn("tail", F.lpad((F.col("c_custkey") % 900 + 100).cast("string"), 3, "0"))
+    kind, none = F.col("c_custkey") % 4, F.lit(None).cast("string")
+    local = F.when(kind == 0, F.concat(F.lit("020 7946 0"), "tail")).when(kind == 1, F.concat(F.lit("01 42 27 8"), "tail")).otherwise(F.concat(F.lit("(415) 555-0"), "tail"))
+    country = F.when(kind == 0, "United Kingdom of Great Britain and Northern Ireland").when(kind == 1, "fra").when(kind == 2, "US")
+    parts = [C.scalar("phones", local), C.fields_object("location", city=F.lit("x"), region=none, country=country)]
+    done = C.normalize(C.emit(rows, "csv", "direct_field", parts)).where("field_path = 'phones'")
+    return done.select("entity_key", F.col("value").alias("phone"), F.col("failed_method").alias("reason"))
+
+
+@query("""SELECT (c_custkey % 40)::VARCHAR AS cluster_id, CASE WHEN bool_or(c_custkey % 3 = 0) THEN 'phones/csv/e164_no_region' ELSE '' END AS abstentions FROM customer GROUP BY 1""")
+def abstention_triples(spark, sf_dir):
+    rows = keyed(table(spark, sf_dir, "customer"), "csv", "c_custkey", 0)
+    raw = F.when(F.col("c_custkey") % 3 == 0, "555-0188").otherwise("+1 415 555 0101")
+    done = C.normalize(C.emit(rows, "csv", "direct_field", [C.scalar("phones", raw), C.scalar("emails", F.lit("not an address"))]))
+    found = G.abstentions(done.withColumn("cluster_id", (F.split("entity_key", ":")[1].cast("long") % 40).cast("string")))
+    return found.select("cluster_id", F.array_join(F.transform("abstentions", lambda a: F.concat_ws("/", a["field"], a["source"], a["reason"])), ",").alias("abstentions"))
+
+
+@query("WITH " + PEOPLE.strip() + """ SELECT email AS mail, 'emails/csv/direct_field,experience/csv/direct_field,full_name/csv/direct_field,location/csv/direct_field,phones/csv/direct_field' AS provenance FROM c""")
+def provenance_sibling(spark, sf_dir):
+    config = from_dict({"fields": [{"path": "mail", "from": "emails[0]", "type": "string"}], "include_provenance": True})
+    text = F.array_join(F.transform("provenance", lambda p: F.concat_ws("/", p["field"], p["source"], p["method"])), ",")
+    return project(_profiles(spark, sf_dir), config).select("mail", text.alias("provenance"))
+
+
+@query("""SELECT 'csv:' || c_custkey AS entity_key, CASE WHEN c_custkey % 4 = 0 THEN '' ELSE 'c' || c_custkey || '@' || CASE c_custkey % 4 WHEN 1 THEN 'gmail.com' ELSE 'firm' || (c_custkey % 9) || '.com' END END AS emails,
+CASE WHEN c_custkey % 4 < 2 THEN '' ELSE 'firm' || (c_custkey % 9) || '.com' END AS domains FROM customer""")
+def personal_mail(spark, sf_dir):
+    """Shared mailboxes are nobody's address, and free mail is no employer."""
+    rows = keyed(table(spark, sf_dir, "customer"), "csv", "c_custkey", 0)
+    kind = F.col("c_custkey") % 4
+    firm = F.concat(F.lit("@firm"), F.col("c_custkey") % 9, F.lit(".com"))
+    mail = F.when(kind == 0, F.concat(F.lit("info"), firm)).otherwise(F.concat(F.lit("C"), "c_custkey", F.when(kind == 1, "@gmail.com").otherwise(firm)))
+    claims = C.emit(rows, "csv", "direct_field", [C.scalar("full_name", F.lit("x")), C.scalar("emails", mail)])
+    views = R.records(C.normalize(claims))
+    return views.select("entity_key", F.array_join("emails", ",").alias("emails"), F.array_join("domains", ",").alias("domains"))
+
+
+@query("""SELECT p_partkey, 'full_name' AS field_path, 'Part ' || p_partkey AS value FROM part UNION ALL SELECT p_partkey, 'emails', 'p' || p_partkey || '@parts.org' FROM part
+UNION ALL SELECT p_partkey, 'skills', p_brand FROM part""")
+def note_fields(spark, sf_dir):
+    """Name, address and skills out of notes written around them; a skill that is listed twice counts once."""
+    parts = table(spark, sf_dir, "part")
+    blurb = F.concat(F.lit("  Part "), "p_partkey", F.lit(" — seen at a fair, mail p"), "p_partkey", F.lit("@parts.org for more. Skills: "), "p_brand", F.lit(", "), F.lower("p_brand"), F.lit(" and "), "p_brand", F.lit(". Bye"))
+    rows = keyed(parts, "notes", "p_partkey", 0).withColumn("blurb", blurb)
+    claims = C.emit(rows, "notes", "regex_extract", S.note_parts(F.col("blurb")))
+    return claims.select(F.split("entity_key", ":")[1].cast("long").alias("p_partkey"), "field_path", "value")
