@@ -55,6 +55,11 @@ BITS_A_DIGEST, LEAST_FILTER_BITS, MOST_FILTER_BITS = 12, 1 << 16, 1 << 30
 ENTRY, ENTRY_BYTES, HEAD, MARK = "<I16s", 20, "<6sQI", b"MCDC2\0"
 
 
+def key_of(payload: bytes) -> bytes:
+    """What names a payload: 128 bits of its digest."""
+    return hashlib.sha256(payload).digest()[:16]
+
+
 def payloads(texts: pa.Array) -> list[bytes]:
     """UTF-8 bytes, padded by spaces to a positive multiple of the frame."""
     raw, offsets = utf8(texts)
@@ -73,7 +78,7 @@ def chunk_list(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
 
 
 def lists(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, key, n_bytes, list): of each row, its payload's digest and ordered chunk list."""
+    """(id, key, n_bytes, list): of each row, the first half of its payload's digest and its ordered chunk list."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -83,7 +88,7 @@ def lists(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
                 packed = b"".join([struct.pack(ENTRY, n, d) for n, d in zip((ends - starts).tolist(), digests, strict=True)])
                 firsts = np.searchsorted(doc, np.arange(len(parts) + 1)) * ENTRY_BYTES
                 entries = [packed[a:b] for a, b in zip(firsts[:-1].tolist(), firsts[1:].tolist(), strict=True)]
-                keys = [hashlib.sha256(p).digest() for p in parts]
+                keys = [key_of(p) for p in parts]
                 n = np.diff(utf8(texts)[1])
                 yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(keys, pa.binary()), pa.array(n, pa.int64()), pa.array(entries, pa.binary())], ["id", "key", "n_bytes", "list"])
 
@@ -107,9 +112,9 @@ def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def shared_filter(entries: DataFrame) -> np.ndarray:
-    """A Bloom filter of the digests that two payloads or more have; ``entries``: (key, list) of each distinct payload."""
-    digests = entries.select("key", "list").mapInArrow(_spread, "key binary, digest binary").distinct()
-    shared = materialize(digests.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digest"), "shared")
+    """A Bloom filter of the digests that two payloads or more have; ``entries``: (key, list) of each row."""
+    found = entries.select("key", "list").mapInArrow(_spread, "key binary, digest binary").groupBy("digest").agg(F.min("key").alias("a"), F.max("key").alias("b"))
+    shared = materialize(found.where("a <> b").select("digest"), "shared")
     wanted = max(LEAST_FILTER_BITS, min(MOST_FILTER_BITS, shared.count() * BITS_A_DIGEST))
     size = 1 << (wanted - 1).bit_length()
 
@@ -170,7 +175,7 @@ def written(docs: DataFrame, filter_: np.ndarray, text_col: str = "text") -> Dat
                 shared, firsts = may_be_shared(known.value, digests), np.searchsorted(doc, np.arange(len(parts) + 1)).tolist()
                 out = []
                 for p, payload in enumerate(parts):
-                    if not first(key := hashlib.sha256(payload).digest()):
+                    if not first(key := key_of(payload)):
                         continue
                     a, b = firsts[p], firsts[p + 1]
                     chunks = [whole[s:e] for s, e in zip(starts[a:b].tolist(), ends[a:b].tolist(), strict=True)]
@@ -190,7 +195,7 @@ def features(samples: np.ndarray, n_chunks: int) -> str:
     return f"{n_chunks}:{samples.mean():.4f}:{samples.std():.4f}:{-(spread * np.log2(spread)).sum():.4f}:" + ",".join(f"{x:.3f}" for x in share)
 
 
-RESULT = pa.schema([("key", pa.binary()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()), ("n_chunks", pa.int64()), ("n_shared", pa.int64())])
+RESULT = pa.schema([("key", pa.binary()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.binary()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.binary()), ("feature", pa.string()), ("n_chunks", pa.int64()), ("n_shared", pa.int64())])
 
 
 def rebuilt(key: bytes, blob: bytes, frames: dict[bytes, bytes]) -> tuple:
@@ -212,9 +217,10 @@ def rebuilt(key: bytes, blob: bytes, frames: dict[bytes, bytes]) -> tuple:
             raise ValueError("a chunk differs from its digest")
         parts.append(part)
     payload = b"".join(parts)
-    if len(payload) != size or hashlib.sha256(payload).digest() != key:
+    whole = hashlib.sha256(payload).digest()
+    if len(payload) != size or whole[: len(key)] != key:
         raise ValueError("a payload differs from its digest")
-    return key, size, key.hex(), zlib.crc32(payload[-16:]), media_bytes, media.hexdigest(), features(np.frombuffer(payload, np.uint8), len(parts)), len(parts), int(stored.sum())
+    return key, size, whole, zlib.crc32(payload[-16:]), media_bytes, media.digest(), features(np.frombuffer(payload, np.uint8), len(parts)), len(parts), int(stored.sum())
 
 
 def _table(rows: list[tuple]) -> pa.RecordBatch:
@@ -223,7 +229,7 @@ def _table(rows: list[tuple]) -> pa.RecordBatch:
 
 def read_back(records: DataFrame, store: DataFrame) -> DataFrame:
     """A row of ``RESULT`` for each record, read from both tables; those of equal payloads may repeat."""
-    ddl = "key binary, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_chunks long, n_shared long"
+    ddl = "key binary, payload_bytes long, payload_sha256 binary, tail_crc32 long, media_bytes long, media_sha256 binary, feature string, n_chunks long, n_shared long"
 
     def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -254,7 +260,7 @@ def read_back(records: DataFrame, store: DataFrame) -> DataFrame:
             yield _table([rebuilt(now, blob, frames)])
 
     mixed = records.where("n_stored > 0").select("key", "bytes")
-    wanted = mixed.mapInArrow(needs, "key binary, digest binary").distinct()
+    wanted = materialize(mixed.mapInArrow(needs, "key binary, digest binary").distinct(), "wanted")
     fetched = join_counted(wanted, store.join(wanted.groupBy("digest").agg(F.count(F.lit(1)).alias("n")), "digest"), ["digest"]).select("key", "digest", "bytes")
     rows = mixed.select("key", F.lit(None).cast("binary").alias("digest"), "bytes").unionByName(fetched)
     built = rows.repartition("key").sortWithinPartitions("key", "digest").mapInArrow(build, ddl)
@@ -264,9 +270,10 @@ def read_back(records: DataFrame, store: DataFrame) -> DataFrame:
 def media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, n_chunks, n_shared) of each row."""
     rows = materialize(lists(docs, id_col, text_col), "lists")
-    filter_ = shared_filter(rows.select("key", "list").dropDuplicates(["key"]))
+    filter_ = shared_filter(rows)
     media_ = materialize(written(docs, filter_, text_col), "media")
     store = materialize(media_.where("digest is not null").select("digest", "bytes").dropDuplicates(["digest"]), "store")
     made = read_back(media_.where("key is not null"), store).dropDuplicates(["key"])
     counted = made.join(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "key")
-    return join_counted(rows.select(F.col("id").alias(id_col), "n_bytes", "key"), materialize(counted, "read"), ["key"]).drop("key")
+    told = join_counted(rows.select(F.col("id").alias(id_col), "n_bytes", "key"), materialize(counted, "read"), ["key"]).drop("key")
+    return told.withColumns({c: F.lower(F.hex(c)) for c in ("payload_sha256", "media_sha256")})
