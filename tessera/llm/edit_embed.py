@@ -16,7 +16,8 @@ distance. See ``edit_links``.
 
 Edge cases: null and empty texts have a fingerprint without samples, equal to each other with
 likeness 1; rows are ordered by id, then text, nulls first, and the row after the last is the first; a
-single row is its own next; repeated rows keep their rows; an empty table gives no rows. Only the id and the text column are read.
+single row is its own next; repeated rows keep their rows; ids are whole numbers; an empty table gives no rows. Only the id and the text column are
+read. A worker needs memory in proportion to the longest text.
 """
 
 from __future__ import annotations
