@@ -90,7 +90,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 class BKTree:
-    """Distinct 64-bit values under the Hamming distance."""
+    """Distinct values under the Hamming distance."""
 
     def __init__(self) -> None:
         self.root: list | None = None
@@ -183,7 +183,7 @@ def _units(values: DataFrame, shards: list[Column], shard_rows: int) -> DataFram
 def tree_links(units: DataFrame, radius: int) -> DataFrame:
     """(a, b): enough pairs of nodes within ``radius`` bits of each other to connect all that a unit links.
 
-    ``units``: unit, role, fingerprint and, where that does not name the node, its key.
+    ``units``: unit, role and fingerprint, which names the node; or unit, role, both halves of a fingerprint of 128 bits, and the node.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,6 +201,10 @@ def tree_links(units: DataFrame, radius: int) -> DataFrame:
             keys = batch.column(0).to_numpy()
             begins = np.concatenate(([0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(batch)])).tolist()
             roles, fps, nodes = (batch.column(k).to_pylist() for k in (1, 2, len(batch.columns) - 1))
+            if len(batch.columns) > 3:
+                fps = [(high & 0xFFFFFFFFFFFFFFFF) << 64 | (low & 0xFFFFFFFFFFFFFFFF) for high, low in zip(fps, batch.column(3).to_pylist(), strict=True)]
+            else:
+                fps = [fp & 0xFFFFFFFFFFFFFFFF for fp in fps]
             for at, to in zip(begins, begins[1:], strict=False):
                 if (here := keys[at]) != unit:
                     unit = here
@@ -208,8 +212,7 @@ def tree_links(units: DataFrame, radius: int) -> DataFrame:
                         continue
                     tree, parent, name = BKTree(), {}, {}
                 for k in range(at, to):
-                    role, node = roles[k], nodes[k]
-                    value = fps[k] & 0xFFFFFFFFFFFFFFFF
+                    role, node, value = roles[k], nodes[k], fps[k]
                     if role == 0:
                         tree.add(value)
                         found = [value] if name.setdefault(value, node) != node else []

@@ -2,8 +2,9 @@
 
 Texts are linked where the Jaccard similarity of their sets of word shingles is ``least`` or more; components of links are
 groups of near-duplicates. At a similarity of 0.8 SimHashes differ in about 10 of 64 bits, too many for the exact
-search by agreeing blocks, so shards are sampled: each table takes some bits of one of three further SimHash words as its shard
-key, and in a shard the BK-tree of the first word is searched with a radius of 18 bits. The bits of a key follow the number
+search by agreeing blocks, so shards are sampled: each table takes some bits of one of three SimHash words as its shard
+key, and in a shard the BK-tree of fingerprints of 128 bits is searched with a radius of 32 bits, which two unrelated texts
+meet once in 10^8 times. The bits of a key follow the number
 of texts, so that a shard holds about ``FILL`` of them, and the tables follow the bits, so that a pair at ``least`` is found with a probability
 of ``RECALL`` (``tables_for``), a closer one with more: 0.99 from 0.85 on.
 
@@ -38,8 +39,8 @@ from tessera.operators.storage import materialize
 
 #: Words of a shingle, and similarity of a link at least.
 SIZE, LEAST = 5, 0.8
-#: Bits between the SimHashes of candidates at most, texts of a shard on average, and share of the pairs at ``LEAST`` to find.
-RADIUS, FILL, RECALL = 18, 32, 0.98
+#: Bits of 128 between the SimHashes of candidates at most, texts of a shard on average, and share of the pairs at ``LEAST`` to find.
+RADIUS, FILL, RECALL = 32, 32, 0.98
 #: SimHash words that shard keys are taken from.
 WORDS = 3
 #: Bytes of text that are sketched at once.
@@ -59,7 +60,7 @@ def expected_recall(bits: int, tables: int, least: float) -> float:
     for w in range(WORDS):
         n = tables // WORDS + (w < tables % WORDS)
         miss *= sum(p * (1 - a) ** n for p, a in zip(of_bits, agree, strict=True))
-    return (1 - miss) * sum(of_bits[: RADIUS + 1])
+    return (1 - miss) * sum(comb(128, d) * differ**d * (1 - differ) ** (128 - d) for d in range(RADIUS + 1))
 
 
 @cache
@@ -117,7 +118,7 @@ def _tie(text_col: str):
 def clusters(values: DataFrame, least: float) -> DataFrame:
     """(key, cluster) of the sets that have a candidate."""
     shards = [F.col(f"w{w}").bitwiseAND(F.lit(_signed(mask))) for w, mask in tables_for(values.count(), least)]
-    units = _units(values.select("w0", "w1", "w2", "fp", "key"), shards, SHARD_ROWS).select("unit", "role", "fp", "key")
+    units = _units(values.select("w0", "w1", "w2", "fp", "key"), shards, SHARD_ROWS).select("unit", "role", "fp", "w0", "key")
     return connected_components(tree_links(units, RADIUS)).select(F.col("node").alias("key"), F.col("component").alias("bucket"))
 
 
