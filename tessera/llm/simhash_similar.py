@@ -13,7 +13,7 @@ connected or differs from all others; none is left out. Large clusters are cut i
 every part meets every part, in units of bounded size. A unit reports a spanning forest of its links, so a group of n copies
 costs n rows. Equal sets are one node.
 
-The tables grow with the number of texts, about as n to the power of 0.35: 48 for 2 * 10^5 texts, 171 for 10^7.
+The tables grow with the number of texts, about as n to the power of 0.35 to 0.45: 48 for 2 * 10^5 texts, 165 for 10^7, 1311 for 10^9.
 
 Edge cases: null and empty texts have equal, empty sets; fewer than ``size`` words make one
 shingle; repeated rows keep their rows; a null id gets the least id of its group; an
@@ -39,8 +39,8 @@ from tessera.operators.storage import materialize
 
 #: Words of a shingle, and similarity of a link at least.
 SIZE, LEAST = 5, 0.8
-#: Bits of 128 between the SimHashes of candidates at most, texts of a shard on average, and share of the pairs at ``LEAST`` to find.
-RADIUS, FILL, RECALL = 32, 32, 0.98
+#: Texts of a shard on average, and share of the pairs at the least similarity to find.
+FILL, RECALL = 32, 0.98
 #: SimHash words that shard keys are taken from.
 WORDS = 3
 #: Bytes of text that are sketched at once.
@@ -51,16 +51,27 @@ PART_ROWS, PART_SHINGLES = 4096, 1 << 20
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
 
+def _differ(similarity: float) -> float:
+    """Share of SimHash bits in which two sets of this Jaccard similarity and of one size differ."""
+    return acos(2 * similarity / (1 + similarity)) / pi
+
+
+def radius_for(least: float) -> int:
+    """Bits of 128 between the SimHashes of candidates at most: 3.2 deviations above what pairs at ``least`` have on average."""
+    differ = _differ(least)
+    return int(128 * differ + 3.2 * (128 * differ * (1 - differ)) ** 0.5)
+
+
 def expected_recall(bits: int, tables: int, least: float) -> float:
     """Probability that two sets of this similarity and of one size share a shard and are within the radius."""
-    differ = acos(2 * least / (1 + least)) / pi
+    differ = _differ(least)
     of_bits = [comb(64, d) * differ**d * (1 - differ) ** (64 - d) for d in range(65)]
     agree = [comb(64 - d, bits) / comb(64, bits) for d in range(65)]
     miss = 1.0
     for w in range(WORDS):
         n = tables // WORDS + (w < tables % WORDS)
         miss *= sum(p * (1 - a) ** n for p, a in zip(of_bits, agree, strict=True))
-    return (1 - miss) * sum(comb(128, d) * differ**d * (1 - differ) ** (128 - d) for d in range(RADIUS + 1))
+    return (1 - miss) * sum(comb(128, d) * differ**d * (1 - differ) ** (128 - d) for d in range(radius_for(least) + 1))
 
 
 @cache
@@ -68,7 +79,7 @@ def tables_for(n: int, least: float = LEAST) -> list[tuple[int, int]]:
     """(word, bit mask) of each table for ``n`` texts."""
     bits = max(6, min(40, round(log2(max(n, 1) / FILL)))) if n > FILL else 6
     tables = WORDS
-    while expected_recall(bits, tables, least) < RECALL and tables < 3000:
+    while expected_recall(bits, tables, least) < RECALL:
         tables += WORDS
     rng = np.random.default_rng(bits)
     return [(t % WORDS, sum(1 << int(b) for b in rng.choice(64, bits, replace=False))) for t in range(tables)]
@@ -119,7 +130,7 @@ def clusters(values: DataFrame, least: float) -> DataFrame:
     """(key, cluster) of the sets that have a candidate."""
     shards = [F.col(f"w{w}").bitwiseAND(F.lit(_signed(mask))) for w, mask in tables_for(values.count(), least)]
     units = _units(values.select("w0", "w1", "w2", "fp", "key"), shards, SHARD_ROWS).select("unit", "role", "fp", "w0", "key")
-    return connected_components(tree_links(units, RADIUS)).select(F.col("node").alias("key"), F.col("component").alias("bucket"))
+    return connected_components(tree_links(units, radius_for(least))).select(F.col("node").alias("key"), F.col("component").alias("bucket"))
 
 
 def _met(members: DataFrame, part_rows: int) -> DataFrame:
