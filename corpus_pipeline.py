@@ -6,14 +6,12 @@ Each stage takes what the one before it kept. All but the last return the column
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import line_winnow, mixing, simhash_similar, packing, toxicity
+from tessera.llm import line_winnow, mixing, packing, simhash_similar, toxicity
 from tessera.llm.queries import vocabulary
-from tessera.operators.storage import shared_dir
+from tessera.operators.storage import materialize
 
 #: Share of the tokens that reach the mixing stage which it hands on.
 MIX_SHARE = 0.8
@@ -67,11 +65,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written and read again in the shared folder."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for at, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if at < len(STAGES) - 1:
-            schema = docs.schema
-            docs.write.parquet(f"{folder}/{name}")
-            docs = spark.read.schema(schema).parquet(f"{folder}/{name}")
+            docs = materialize(docs, name)
     return docs
